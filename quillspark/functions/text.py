@@ -33,6 +33,11 @@ REFUSALS = (
 )
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends; Spark's trim takes blanks alone."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -45,7 +50,7 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def is_table_line(line: Column) -> Column:
-    return F.trim(line).startswith("|") & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2)
+    return strip(line).startswith("|") & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2)
 
 
 def is_refusal(answer: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quillspark.functions.text import pipe_table, strip_html
+from quillspark.functions.text import pipe_table, strip, strip_html
 
 TABLE = re.compile(r"<table.*?</table>", re.S | re.I)
 
@@ -69,7 +69,7 @@ def clean_markdown(text: Column, strip: bool = True) -> Column:
     tables = F.transform(html_grids(text), lambda g: pipe_table(g))
     joined = F.array_join(F.flatten(F.zip_with(pieces, tables, lambda p, t: F.array(p, F.coalesce(F.concat(F.lit("\n"), t, F.lit("\n")), F.lit(""))))), "")
     body = strip_html(joined) if strip else F.regexp_replace(joined, "\n{3,}", "\n\n")
-    return F.concat(F.trim(body), F.lit("\n"))
+    return F.concat(strip(body), F.lit("\n"))
 
 
 def table_export(tables: DataFrame) -> DataFrame:
