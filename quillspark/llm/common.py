@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +51,6 @@ def crc_mod(column, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def ascii_lower(column):
+def ascii_lower(text: str | None) -> str:
     """Lower-case A-Z only; null becomes the empty text."""
-    return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)
+    return text.encode().lower().decode() if text else ""

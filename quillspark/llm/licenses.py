@@ -4,7 +4,7 @@ All rolling word 2-gram hashes of the texts are joined with the positions at whi
 diagonal: word position in the text less position in the template.  Votes are counted for each (text, template,
 diagonal); neighbouring diagonals, which a word more or less in the text sets apart, are merged; a merged diagonal is verified
 by the share of template positions it covers.  The short base phrases must be covered whole on a single diagonal, which
-with the words compared beside the hashes means that the words stand there consecutively.
+means that its words stand there consecutively.
 
 The templates are a fixed list, so their side of the join is broadcast.  Only hits are moved, after they are counted within tasks.
 
@@ -14,6 +14,12 @@ text's hash.  Columns of the input other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,35 +55,97 @@ NOTICES = (
 )
 
 
+def rolling(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all 2-grams from the hashes of single words."""
+    first, second = words[:-1], words[1:]
+    mixed = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
 def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
     """A row for each 2-gram of each template."""
     rows = []
     for no, (phrase, label) in enumerate([*base, *notices]):
-        words = phrase.split(" ")
-        rows += [(no, no < len(base), label, i, len(words) - 1, words[i], words[i + 1]) for i in range(len(words) - 1)]
-    df = spark.createDataFrame(rows, "template int, is_base boolean, label string, place int, places int, first string, second string")
-    return df.withColumn("hash", F.xxhash64("first", "second"))
+        hashes = rolling(np.array([word_hash(w) for w in phrase.split(" ")], np.uint64)).view(np.int64)
+        rows += [(no, no < len(base), label, i, len(hashes), int(h)) for i, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "template int, is_base boolean, label string, place int, places int, hash long")
+
+
+#: Word hashes that a task remembers.
+REMEMBER = 500_000
+#: Rows after which a task hands on what it has.
+FLUSH = 200_000
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(doc_id, th, n_words) of texts (doc_id, th, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(WORDS).findall
+        for batch in batches:
+            n = [len(cut(ascii_lower(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64())], names=["doc_id", "th", "n_words"])
+
+    return texts.mapInArrow(run, "doc_id long, th long, n_words long")
+
+
+def grams_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, th, at, hash) of every 2-gram of texts (doc_id, th, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cut = {}, re.compile(WORDS).findall
+
+        def hashed(word: str) -> int:
+            if (h := known.get(word)) is None:
+                h = word_hash(word)
+                if len(known) < REMEMBER:
+                    known[word] = h
+            return h
+
+        held, n_held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(h) for _, _, h in held]
+            ids = pa.array([d for d, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            columns = [ids, pa.array(np.repeat(np.array([t for _, t, _ in held], np.int64), sizes)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])), pa.array(np.concatenate([h for _, _, h in held]))]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+                words = cut(ascii_lower(text))
+                if len(words) > 1:
+                    held.append((doc_id, th, rolling(np.fromiter(map(hashed, words), np.uint64, len(words))).view(np.int64)))
+                    n_held += len(words) - 1
+                if n_held >= FLUSH:
+                    yield flush()
+                    held, n_held = [], 0
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "doc_id long, th long, at int, hash long")
 
 
 def scan(spark: SparkSession, docs: DataFrame, base=BASE, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has a row for each row of docs: doc_id, th, n_words; spans has a row for each verified place: doc_id,
     th, template, is_base, label, first_word, last_word (of the place), cover."""
-    # Python's tools are not needed: cut, explode, hash and join run in one generated stage.
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORDS), F.lit(0)).alias("words"))
-    texts = words.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
-    grams = words.where("size(words) > 1").select("doc_id", "th", F.posexplode(F.arrays_zip(F.col("words").alias("first"), F.slice("words", F.lit(2), F.size("words") - 1).alias("second"))).alias("at", "gram"))
-    grams = grams.select("doc_id", "th", "at", F.col("gram")["first"].alias("first"), F.col("gram")["second"].alias("second")).withColumn("hash", F.xxhash64("first", "second"))
-    hits = grams.join(F.broadcast(templates(spark, base, notices)), ["hash", "first", "second"])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    texts = counted(keyed)
+    hits = grams_of(keyed).join(F.broadcast(templates(spark, base, notices)), "hash")
     own = ["doc_id", "th", "template", "is_base", "label", "places"]
     diagonals = hits.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("covered"), F.min("at").alias("low"), F.max("at").alias("high"))
-    exact = diagonals.where("is_base AND size(covered) = places").select("doc_id", "th", "template", "is_base", "label", F.col("low").alias("first_word"), (F.col("high") + 1).alias("last_word"), F.lit(1.0).alias("cover"))
+    # One path for both kinds of template: the diagonals of a base phrase are never merged.
     order = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
-    merged = diagonals.where("NOT is_base").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"))
-    merged = merged.withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(order))
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("is_base"), 0).otherwise(GAP)
+    merged = diagonals.withColumn("new", apart.cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(order))
     merged = merged.groupBy(*own, "island").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.min("low").alias("first_word"), (F.max("high") + 1).alias("last_word"))
     cover = F.size("covered") / F.col("places")
-    voted = merged.where(cover >= COVER).select("doc_id", "th", "template", "is_base", "label", "first_word", "last_word", cover.alias("cover"))
-    return texts, exact.unionByName(voted)
+    verified = merged.where(cover >= F.when(F.col("is_base"), 1.0).otherwise(COVER))
+    return texts, verified.select("doc_id", "th", "template", "is_base", "label", "first_word", "last_word", cover.alias("cover"))
 
 
 def summary(texts: DataFrame, spans: DataFrame) -> DataFrame:

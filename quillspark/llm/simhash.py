@@ -68,10 +68,10 @@ def fingerprints(docs: DataFrame, columns: list[str], shingle: int = 4) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or "", shingle) for t in batch.column("lowered").to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(ascii_lower(t), shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.int64())], names=[*columns, "fp"])
 
-    return docs.select(*columns, ascii_lower(F.col("text")).alias("lowered")).mapInArrow(run, fields.add("fp", "long"))
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, fields.add("fp", "long"))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
