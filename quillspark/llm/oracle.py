@@ -17,4 +17,13 @@ k AS (SELECT r.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN
 n AS (SELECT *, CAST(least(floor(pos * rate + u) - floor((pos - 1) * rate + u), ceil(rate)) AS BIGINT) AS copies FROM k)
 SELECT doc_id, source, size, source_size, round(target, 4) AS target, copies, copies * size AS taken FROM n"""
 
-SQL = {"op10_mixing": OP10}
+OP2 = """WITH RECURSIVE g AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS u, vec_id AS v FROM g UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+c AS (SELECT u, min(v) AS component FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS links FROM l GROUP BY u)
+SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id"""
+
+SQL = {"op2_covertree": OP2, "op10_mixing": OP10}

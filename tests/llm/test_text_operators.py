@@ -253,4 +253,10 @@ def test_langid_held_out(spark, odd, none):
 
 def test_langid_backs_off_to_shorter_grams():
     model = langid.Model(["a", "b"], {"known": (-1.0, -9.0)}, {"<zzz": (-9.0, -1.0), "z": (-5.0, -4.0)}, (-20.0, -20.0))
-    assert model.predict("known", {})[0] == "a" and model.predict("zzz", {})[0] == "b" and model.predict("12 ²", {}) == ("und", 0.0)
+    scorer = langid.Scorer(model)
+    assert scorer.predict("known")[0] == "a" and scorer.predict("zzz")[0] == "b" and scorer.predict("12 ²") == ("und", 0.0)
+    # "<zzz" whole, three single z three steps down, ">" unknown.
+    want = [-9 + 3 * (-5 + 3 * langid.STEP) - 20, -1 + 3 * (-4 + 3 * langid.STEP) - 20]
+    assert scorer.unseen("zzz").tolist() == pytest.approx(want)
+    scorer.full = len(scorer.rows)
+    assert scorer.total(["known", "zzz", "zz"]).tolist() == pytest.approx((langid.Scorer(model).total(["known", "zzz", "zz"])).tolist())
