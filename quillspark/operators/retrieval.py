@@ -28,23 +28,28 @@ def top_k(scored: DataFrame, k: int, by: list[str] | str = "qid", id_column: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf): how often each chunk uses each term."""
-    return chunks.select("id", F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, terms: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(id, len, term, tf): how often each chunk uses each term, and its number of tokens; of the given terms only, if any are given.
+
+    The terms are semi-joined before the counts are shuffled, and the length travels with them: one scan, one exchange."""
+    split = chunks.select("id", tokens(F.col(text)).alias("words"))
+    used = split.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    if terms is not None:
+        used = used.join(terms, "term", "left_semi")
+    return used.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """questions (qid, question) and chunks (id, text) to (qid, id, score): a term counts once in a question.
 
-    Only postings of terms that some question uses are joined; lengths and document frequencies come from all chunks."""
-    posts = postings(chunks)
-    lengths = chunks.select("id", F.size(tokens(F.col("text"))).alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    Only postings of terms that some question uses are counted; the number and mean length of chunks come from all of them."""
     wanted = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    frequency = posts.groupBy("term").agg(F.count("*").alias("df")).join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = frequency.crossJoin(corpus).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")  # corpus is one row
+    posts = postings(chunks, wanted.select("term").distinct())
+    corpus = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean"))
+    idf = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(corpus)  # corpus is one row
+    idf = idf.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    weighted = posts.join(idf, "term").join(lengths, "id").select("id", "term", weight.alias("w"))
+    weighted = posts.join(idf, "term").select("id", "term", weight.alias("w"))
     return wanted.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
 
 
