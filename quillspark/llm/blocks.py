@@ -29,8 +29,8 @@ from quillspark.llm.common import partitions, written_by
 #: Code points of text after which a block ends.
 BLOCK_CHARS = 24_000_000
 
-SCHEMA = "block long, part int, ids array<long>, flags array<int>, lens array<int>, counts array<long>, data binary"
-ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("data", pa.binary())])
+SCHEMA = "block long, part int, start int, ids array<long>, flags array<int>, lens array<int>, places binary, counts binary, data binary"
+ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
 
 
 def squeeze(indexes: np.ndarray) -> bytes:
@@ -44,13 +44,16 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def pack_words(words: list[str]) -> tuple[list[int], bytes]:
-    return [len(w) for w in words], zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
+def pack_words(words: list[str]) -> bytes:
+    sizes = np.array([len(words), *map(len, words)], "<u4")
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + "".join(words).encode())
 
 
-def unpack_words(lens, data: bytes) -> list[str]:
-    text, ends = zstandard.ZstdDecompressor().decompress(data).decode(), list(accumulate(lens))
-    return [text[e - n : e] for e, n in zip(ends, lens, strict=True)]
+def unpack_words(data: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    sizes, text = np.frombuffer(raw, "<u4", n, 4).tolist(), raw[4 * n + 4 :].decode()
+    return [text[e - k : e] for e, k in zip(accumulate(sizes), sizes, strict=True)]
 
 
 def pack_array(values: np.ndarray) -> bytes:
@@ -75,14 +78,14 @@ def cut(docs: DataFrame, tokenise: Callable[[], Callable[[str], list[str]]], par
             number = (task << 32) | next(serial)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
             times = np.bincount(flat[np.repeat(np.array(flags, bool), lens)], minlength=len(index)) if counted else None
-            rows = [{"block": number, "part": -1, "ids": ids, "flags": flags, "lens": lens, "counts": None, "data": squeeze(flat)}]
-            dealt = defaultdict(list)
+            dealt, rows, places = defaultdict(list), [], []
             for word, i in index.items():
                 dealt[zlib.crc32(word.encode()) % parts].append((i, word))
             for part, own in dealt.items():
                 at = [i for i, _ in own]
-                sizes, data = pack_words([w for _, w in own])
-                rows.append({"block": number, "part": part, "ids": at, "flags": None, "lens": sizes, "counts": times[at].tolist() if counted else None, "data": data})
+                rows.append({"block": number, "part": part, "start": len(places), "counts": pack_array(times[at].astype("<i8")) if counted else None, "data": pack_words([w for _, w in own])})
+                places += at
+            rows.append({"block": number, "part": -1, "ids": ids, "flags": flags, "lens": lens, "places": squeeze(np.array(places, np.uint32)), "data": squeeze(flat)})
             return pa.RecordBatch.from_pylist(rows, ARROW)
 
         held, (index, ids, flags, lens, found) = 0, fresh()
@@ -107,12 +110,12 @@ def cut_and_write(spark: SparkSession, docs: DataFrame, tokenise, label: str, co
     """The table of blocks, that of their distinct tokens, and the number of parts."""
     parts = partitions(spark)
     whole = written_by(spark, cut(docs, tokenise, parts, counted, block_chars), label, "block", parts)
-    return whole.where("part < 0").select("block", "ids", "flags", "lens", "data"), whole.where("part >= 0").select("block", "part", F.col("ids").alias("at"), "lens", "counts", "data"), parts
+    return whole.where("part < 0").select("block", "ids", "flags", "lens", "places", "data"), whole.where("part >= 0").select("block", "part", "start", "counts", "data"), parts
 
 
 def dealt(words: DataFrame, parts: int) -> DataFrame:
-    """The tokens of each part together, parts one after another within a task."""
-    return words.repartition(parts, "part").sortWithinPartitions("part", "block")
+    """The tokens of each part in a task of its own."""
+    return words.repartitionById(parts, "part").sortWithinPartitions("part", "block")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -128,7 +131,20 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+ANSWER = "block long, start int, answer binary"
+
+
+def answer(row: dict, data: bytes) -> pa.RecordBatch:
+    """What was computed for the tokens of a row, for ``rejoin``."""
+    return pa.RecordBatch.from_pydict({"block": [row["block"]], "start": [row["start"]], "answer": [data]}, pa.schema([("block", pa.int64()), ("start", pa.int32()), ("answer", pa.binary())]))
+
+
 def rejoin(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with what was computed for their tokens: answers (block, at, answer) become one list a block, at most one
-    entry for each part."""
-    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("at", "answer")).alias("answers")), "block", "left")
+    """Blocks with what was computed for their tokens: answers become one list a block, at most one entry for each part."""
+    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("start", "answer")).alias("answers")), "block", "left")
+
+
+def answers_of(row: dict) -> tuple[int, Iterator[tuple[np.ndarray, bytes]]]:
+    """Number of distinct tokens of a block, and for each answer the indexes of its tokens (those from ``start`` on) with its data."""
+    places = unsqueeze(row["places"])
+    return len(places), ((places[a["start"] :], a["answer"]) for a in row["answers"] or [])

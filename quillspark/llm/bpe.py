@@ -50,16 +50,15 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
         for rows in B.by_part(batches):
             known: dict[str, bytes] = {}
             for row in rows:
-                own = B.unpack_words(row["lens"], row["data"])
+                own = B.unpack_words(row["data"])
                 for word in own:
                     if word not in known:
                         known[word] = np.array(coder.encode_ordinary(word), "<u4").tobytes()
                 ids = [known[w] for w in own]
                 sizes = np.array([len(x) // 4 for x in ids], "<u4")
-                answer = B.pack_array(np.concatenate([np.array([len(own)], "<u4"), sizes, np.frombuffer(b"".join(ids), "<u4")]))
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "at": row["at"], "answer": answer}], pa.schema([("block", pa.int64()), ("at", pa.list_(pa.int64())), ("answer", pa.binary())]))
+                yield B.answer(row, B.pack_array(np.concatenate([np.array([len(own)], "<u4"), sizes, np.frombuffer(b"".join(ids), "<u4")])))
 
-    answers = B.dealt(words, parts).mapInArrow(encode_parts, "block long, at array<long>, answer binary")
+    answers = B.dealt(words, parts).mapInArrow(encode_parts, B.ANSWER)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if keep_ids else [])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +66,14 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
         schema = pa.schema(fields)
         for batch in batches:
             for row in batch.to_pylist():
-                n = 1 + max((max(a["at"]) for a in row["answers"] or []), default=-1)
+                n, answers = B.answers_of(row)
                 printed, decoded, sizes = [b""] * n, [b""] * n, np.zeros(n, np.int64)
-                for a in row["answers"] or []:
-                    flat = B.unpack_array(a["answer"], "<u4")
+                for at, data in answers:
+                    flat = B.unpack_array(data, "<u4")
                     m = int(flat[0])
                     ends = np.cumsum(flat[1 : m + 1])
                     tokens, begin = flat[m + 1 :].tolist(), 0
-                    for i, end in zip(a["at"], ends.tolist(), strict=True):
+                    for i, end in zip(at[:m].tolist(), ends.tolist(), strict=True):
                         own = tokens[begin:end]
                         printed[i], decoded[i], sizes[i] = " ".join(map(str, own)).encode(), b"".join([spelled[t] for t in own]), end - begin
                         begin = end

@@ -152,20 +152,21 @@ def expect(word: str, times: float, v: Vocabulary, pieces: dict, byte: Counter)
 
 def words():
     """Tokens are cut here, and the end is added as a document's length is known."""
-    return re.compile("[^\\x20\\x09-\\x0D]+").findall
+    found = re.compile("[^\\x20\\x09-\\x0D]+").findall
+    return lambda text: found(ascii_lower(text))
 
 
 def score(spark: SparkSession, docs: DataFrame, scored: list[tuple[str, float]], block_chars: int = B.BLOCK_CHARS) -> DataFrame:
     """docs (doc_id, text, training boolean) to one row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score (both log10)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("text"), F.coalesce(F.col("training"), F.lit(False)).cast("int").alias("flag"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.col("training"), F.lit(False)).cast("int").alias("flag"))
     blocks, tokens, parts = B.cut_and_write(spark, docs, words, "lm", counted=True, block_chars=block_chars)
     start = spark.sparkContext.broadcast(from_scores(scored))  # fixed size: the vocabulary's
 
     def totals(rows: list[dict]) -> Counter:
         found: Counter = Counter()
         for row in rows:
-            for word, times in zip(B.unpack_words(row["lens"], row["data"]), row["counts"], strict=True):
+            for word, times in zip(B.unpack_words(row["data"]), B.unpack_array(row["counts"], "<i8").tolist(), strict=True):
                 found[word] += times
         return found
 
@@ -193,11 +194,10 @@ def score(spark: SparkSession, docs: DataFrame, scored: list[tuple[str, float]],
             found = totals(rows)
             known = {w: (times, log_add(spans.edge(times), spans.pieces + log_probability(w, v))) for w, times in found.items()}
             for row in rows:
-                own = [known[w] for w in B.unpack_words(row["lens"], row["data"])]
-                answer = B.pack_array(np.array([[t for t, _ in own], [p for _, p in own]], "<f8"))
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "at": row["at"], "answer": answer}], pa.schema([("block", pa.int64()), ("at", pa.list_(pa.int64())), ("answer", pa.binary())]))
+                own = [known[w] for w in B.unpack_words(row["data"])]
+                yield B.answer(row, B.pack_array(np.array([[t for t, _ in own], [p for _, p in own]], "<f8")))
 
-    answers = B.dealt(tokens, parts).mapInArrow(values, "block long, at array<long>, answer binary")
+    answers = B.dealt(tokens, parts).mapInArrow(values, B.ANSWER)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +205,11 @@ def score(spark: SparkSession, docs: DataFrame, scored: list[tuple[str, float]],
         each, end = math.log10(n_train + n_distinct + 1), spans.edge(ends) if ends else 0.0
         for batch in batches:
             for row in batch.to_pylist():
-                n = 1 + max((max(a["at"]) for a in row["answers"] or []), default=-1)
+                n, answers = B.answers_of(row)
                 times, weight = np.zeros(n), np.zeros(n)
-                for a in row["answers"] or []:
-                    times[a["at"]], weight[a["at"]] = B.unpack_array(a["answer"], "<f8").reshape(2, -1)
+                for at, data in answers:
+                    found = B.unpack_array(data, "<f8").reshape(2, -1)
+                    times[at[: found.shape[1]]], weight[at[: found.shape[1]]] = found
                 smoothed, flat, begin, out = np.log10(times + 1), B.unsqueeze(row["data"]), 0, {c: [] for c in schema.names}
                 for doc_id, flag, length in zip(row["ids"], row["flags"], row["lens"], strict=True):
                     at = flat[begin : begin + length]
