@@ -351,7 +351,12 @@ def heading_breadcrumb(spark, sf):
     return chunking.with_marks(lines).where("kind = 'heading'").select("doc_id", "line_no", "heading")
 
 
-@query()
+_FULL = "w.used + len(l.line) + 1 > 1800"
+
+
+@query(f"""WITH RECURSIVE {ALL_LINES}, walk AS (SELECT doc_id, line_no, 0 AS group_no, len(line) + 1 AS used, len(line) AS n FROM l WHERE line_no = 0
+UNION ALL SELECT l.doc_id, l.line_no, w.group_no + ({_FULL})::INT, CASE WHEN {_FULL} THEN 0 ELSE w.used END + len(l.line) + 1, len(l.line) FROM walk w JOIN l ON l.doc_id = w.doc_id AND l.line_no = w.line_no + 1)
+SELECT doc_id, group_no::BIGINT AS group_no, count(*) AS n_lines, CAST(sum(n) + count(*) - 1 AS BIGINT) AS n_chars FROM walk GROUP BY doc_id, group_no""")
 def greedy_pack(spark, sf):
     """Lines of documents packed into groups of at most 1800 characters, in one expression."""
     parts = F.split(F.coalesce("text", F.lit("")), "\n")

@@ -316,7 +316,7 @@ def _folder(spark) -> str:
     return f"{base.rstrip('/')}/quillspark-stream/{name}"
 
 
-@query()
+@query("SELECT count(*) AS n_rows, 'ready' AS state FROM events")
 def stream_status(spark, sf):
     """Events indexed by micro-batch; the status of each batch."""
     at = _folder(spark)
