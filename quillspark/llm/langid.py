@@ -59,30 +59,52 @@ class Model:
     grams: dict[str, tuple[float, ...]]
     floor: tuple[float, ...]
 
-    def unseen(self, word: str) -> tuple[float, ...]:
-        marked, total = f"<{word}>", [0.0] * len(self.languages)
-        for i in range(len(marked)):
+
+class Scorer:
+    """A model as matrices: a row of log frequencies for each learned word and gram, and for unseen words as they come."""
+
+    def __init__(self, model: Model):
+        self.languages, n = model.languages, max(1, len(model.languages))
+        self.rows = dict(zip(model.words, range(len(model.words))))
+        self.table = np.zeros((len(self.rows) + REMEMBER, n))
+        self.table[: len(self.rows)] = np.array(list(model.words.values())).reshape(-1, n)
+        self.grams = dict(zip(model.grams, range(1, len(model.grams) + 1)))  # row 0: no gram at all
+        self.gram_table = np.array([model.floor, *model.grams.values()]).reshape(-1, n)
+        self.full = len(self.table)
+
+    def unseen(self, word: str) -> np.ndarray:
+        marked, get, rows, steps = f"<{word}>", self.grams.get, [], 0
+        n = len(marked)
+        for i in range(n):
+            row = 0
             for step, order in enumerate(ORDERS):
-                if i + order <= len(marked) and (own := self.grams.get(marked[i : i + order])) is not None:
-                    total = [t + x + step * STEP for t, x in zip(total, own, strict=True)]
+                if i + order <= n and (found := get(marked[i : i + order])) is not None:
+                    row = found
+                    steps += step
                     break
-            else:
-                total = [t + x for t, x in zip(total, self.floor, strict=True)]
-        return tuple(total)
-
-    def predict(self, text: str | None, memory: dict[str, tuple[float, ...]]) -> tuple[str, float]:
+            rows.append(row)
+        return self.gram_table[rows].sum(axis=0) + steps * STEP
+
+    def total(self, words: list[str]) -> np.ndarray:
+        get, known, late = self.rows.get, [], 0.0
+        for word in words:
+            row = get(word)
+            if row is None:
+                own = self.unseen(word)
+                row = len(self.rows)
+                if row >= self.full:
+                    late = late + own
+                    continue
+                self.table[row] = own
+                self.rows[word] = row
+            known.append(row)
+        return self.table[known].sum(axis=0) + late
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         found = words_of(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
-        rows = []
-        for word, times in Counter(found).items():
-            own = self.words.get(word) or memory.get(word)
-            if own is None:
-                own = self.unseen(word)
-                if len(memory) < REMEMBER:
-                    memory[word] = own
-            rows.append([times * x for x in own])
-        total = np.array(rows).sum(axis=0)
+        total = self.total(found)
         best = int(total.argmax())
         # Words of a text depend on each other: the more there are, the less each counts.
         odds = np.exp((total - total[best]) / max(1.0, math.sqrt(len(found))))
@@ -94,7 +116,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     count = docs.groupBy("lang").agg(F.count("*").alias("n"))
     order = F.xxhash64("id", F.lit("langid"))
-    likely = docs.select("lang", "id", order.alias("order")).join(F.broadcast(count.limit(10_000)), "lang")  # as many rows as languages
+    likely = docs.select("lang", "id", order.alias("order")).join(count, "lang")  # a row for each language
     likely = likely.where(F.pmod("order", F.lit(1_000_000)) < 1_300_000.0 * per_language / F.col("n"))
     chosen = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("rank") <= per_language)
     # At most per_language rows a language, of an id each.
@@ -138,9 +160,9 @@ def with_language(spark: SparkSession, docs: DataFrame, model: Model, columns: l
     read = [*columns, *(["text"] if "text" not in columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, tuple[float, ...]] = {}
+        scorer = Scorer(shipped.value)
         for batch in batches:
-            found = [shipped.value.predict(t, memory) for t in batch.column("text").to_pylist()]
+            found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
 
     return docs.select(*read).mapInArrow(run, docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
