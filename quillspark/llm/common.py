@@ -17,19 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        found = _own[app]
     return found.rstrip("/")
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder when it ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and safe from lost executors."""
+    """Write ``df`` to the shared folder and read it back: computed once, and safe from lost executors.  It goes when the driver ends."""
     path = f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +50,7 @@ def written_by(spark: SparkSession, df: DataFrame, label: str, key: str, buckets
     name = f"quillspark_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/quillspark/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _gone_at_exit(spark, path)
     return spark.table(name)
 
 

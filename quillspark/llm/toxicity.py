@@ -4,10 +4,11 @@ Word bigram models of toxic and of ordinary documents are compared by their log-
 class has its own discounted bigram and word counts; both back off to one shared distribution, the number of different
 words before a word in either class, so that expressions too rare to tell the classes apart weigh alike in both.
 
-Models are fitted to a bounded sample of labelled documents (``PER_CLASS`` of each class, by the hash of their id), four fifths of
-it for the counts and one fifth to turn the difference into a probability; n-grams that are rare (``LEAST``) or whose rates in
-the classes differ no more than by chance (``CHANCE``) are left to the backoff.  A word without an entry first backs off to its stem,
-the longest of its beginnings (``STEMS`` letters) with an entry, within which words keep their shared proportions.  Scoring reads every word of every text, moves no row, and uses nothing but the text.
+Models are fitted to a bounded sample of labelled documents (``PER_CLASS`` of each class, by the hash of their id): four fifths of it
+for the counts, one fifth (all of it, if that lacks a class) to turn the difference into a probability.  N-grams that are rare
+(``LEAST``) or whose rates in the classes differ no more than by chance (``CHANCE``) are left to the backoff.  A word without an
+entry first backs off to its stem, the longest of its beginnings (``STEMS`` letters) with an entry, within which words keep
+their shared proportions.  Scoring reads every word of every text, moves no row, and uses nothing but the text.
 
 Null and empty texts have no words and a difference of 0.  Null labels and ids are not learned from; if labels disagree, toxic
 holds.  Without labelled documents of both classes every score is 0.  Repeated rows get equal scores.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
@@ -58,8 +59,9 @@ def sample(docs: DataFrame, labels: DataFrame, training: Column, per_class: int
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     share = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, min(1.0, 1.3 * per_class / max(1, count.get(k, 0))))])
     likely = known.withColumn("order", order).where(F.pmod("order", F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
-    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= per_class).select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.col("rank") % 5 == 0).cast("int").alias("fold"))
+    # The first of each class in order; every task keeps no more than that many.
+    first = [likely.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
+    chosen = first[0].union(first[1]).select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod("order", F.lit(5)) == 0).cast("int").alias("fold"))
     # At most 2 * per_class rows of three numbers.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
     return found, {k: max(1.0, n / per_class) for k, n in count.items()}
@@ -182,9 +184,11 @@ def fit(spark: SparkSession, texts: DataFrame, stands_for: dict[int, float]) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shipped.value.features(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic"), batch.column("fold")], names=["a", "b", "toxic", "fold"])
 
-    held = texts.where("fold = 1").select("text", "toxic").mapInArrow(measure, "a double, b double, toxic int").orderBy("a", "b", "toxic").toPandas()
+    held = texts.mapInArrow(measure, "a double, b double, toxic int, fold int").orderBy("a", "b", "toxic", "fold").toPandas()
+    if held[held["fold"] == 1]["toxic"].nunique() == 2:  # else too few documents to set any apart
+        held = held[held["fold"] == 1]
     model.weights = logistic(held[["a", "b"]].to_numpy(), held["toxic"].to_numpy(), np.array([stands_for.get(int(k), 1.0) for k in held["toxic"]]))
     return model
 
@@ -208,7 +212,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, .
 
 
 def with_score(spark: SparkSession, docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
-    """``columns`` of docs and, called ``name``, a score between 0 and 1."""
+    """``columns`` of docs and a score between 0 and 1 called ``name``, which must not be among them."""
     if model is None:
         return docs.select(*columns, F.lit(0.0).alias(name))
     shipped = spark.sparkContext.broadcast(model)
