@@ -6,10 +6,12 @@ figures: this period's and the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.numbers import figure, is_number_cell, line_code
+from quillspark.functions.numbers import figure, grouped, is_number_cell, line_code
 
 # Line codes and labels of the national chart of accounts.
 INCOME = {
@@ -154,50 +156,113 @@ def ratio(found: DataFrame, over: str, under: str, statement: str = "kqkd") -> D
     return df.where("over IS NOT NULL AND under <> 0").select("year", "over", "under", "over_raw", "under_raw", (F.col("over") / F.col("under") * 100).alias("percent"))
 
 
-def _quoted(raw: str = "value_raw", value: str = "value", unit: str = "unit"):
-    bare = F.regexp_replace(F.col(raw), r"^[()]+|[()]+$", "")
-    return F.when(F.col(value) < 0, F.concat(F.lit("âm "), bare)).otherwise(F.col(raw)), bare
-
-
-def questions(found: DataFrame, company: str) -> DataFrame:
-    """Question set over consistent facts: lookups, yearly changes, trends, growth, peaks and margins; a question asked before (whatever its
-    case) is dropped, the rest are numbered.
-
-    Columns: id, question, ground_truth, answer_type, statement, years, gold_numbers, difficulty."""
-    found = consistent(found)
-    when = lambda year: F.when(F.col("statement").startswith("cdkt"), F.concat(F.lit("tại ngày 31/12/"), year.cast("string"))).otherwise(F.concat(F.lit("năm "), year.cast("string")))
-    value, bare = _quoted()
-    item = F.dense_rank().over(Window.orderBy("statement", "code")) - 1
-    # The window above orders line items, a fixed list of codes.
-    items = found.select("statement", "code").distinct().withColumn("item", item)
-    base = found.join(F.broadcast(items), ["statement", "code"])
-    out = "part int, o1 int, o2 int, question string, ground_truth string, answer_type string, statement string, years array<int>, gold_numbers array<string>, difficulty string"
-
-    def made(df: DataFrame, part: int, o1, o2, question, truth, kind: str, years, golds, difficulty) -> DataFrame:
-        columns = [F.lit(part), o1, o2, F.concat(F.upper(F.substring(question, 1, 1)), F.substring(question, 2, 10_000)), truth, F.lit(kind), F.col("statement"), years, golds, difficulty if not isinstance(difficulty, str) else F.lit(difficulty)]
-        return df.select(*[c.cast(f.split(" ", 1)[1]).alias(f.split(" ", 1)[0]) for c, f in zip(columns, out.split(", "), strict=True)])
-
+# Line items that are asked about beyond lookups and yearly changes, in order, and English names of some.
+HEADLINE = (
+    ("kqkd", "01"), ("kqkd", "10"), ("kqkd", "11"), ("kqkd", "20"), ("kqkd", "21"), ("kqkd", "22"), ("kqkd", "25"), ("kqkd", "26"),
+    ("kqkd", "50"), ("kqkd", "60"), ("kqkd", "61"), ("cdkt_ts", "100"), ("cdkt_ts", "110"), ("cdkt_ts", "140"), ("cdkt_nv", "300"),
+    ("cdkt_nv", "400"), ("cdkt_nv", "440"),
+)
+ENGLISH = {
+    "10": "net revenue from sales of goods and services",
+    "20": "gross profit",
+    "50": "profit before tax",
+    "60": "profit after tax",
+    "440": "total resources (equals total assets)",
+    "100": "current assets",
+    "400": "owners' equity",
+}
+# Wording of questions and answers; names in braces are columns, {company} is the report's owner.
+LOOKUPS = (
+    "{low} của {company} {period} là bao nhiêu?",
+    "Cho biết {low} của Tập đoàn {company} {period}.",
+    "Giá trị {low} {period} trên báo cáo hợp nhất của {company} là bao nhiêu?",
+)
+LOOKUP_ANSWER = "{label} {period} là {shown}."
+YEARLY = ("{label} của {company} năm {year} thay đổi thế nào so với năm {year_before}?", "{label} năm {year} là {shown}, {direction} so với {shown_before} năm {year_before}.")
+TREND = ("{label} của {company} các năm {first_year}–{last_year} lần lượt là bao nhiêu?", "{label} qua các năm ({unit}) — {points}.")
+GROWTH = ("{label} của {company} năm {last_year} gấp khoảng bao nhiêu lần năm {first_year}?", "{label} tăng từ {first_raw} ({first_year}) lên {last_raw} ({last_year}), tức khoảng {multiple} lần.")
+PEAK = ("Trong giai đoạn {first_year}–{last_year}, năm nào {company} có {low} cao nhất?", "Cao nhất vào năm {year} với {shown}.")
+MARGINS = (("Biên lợi nhuận gộp", "20", "10"), ("Biên lợi nhuận ròng", "60", "10"))
+MARGIN = ("{name} của {company} năm {year} xấp xỉ bao nhiêu phần trăm?", "{name} năm {year} ≈ {percent}% ({over_label} {over_raw} / {under_label} {under_raw}).")
+OPENING = ("{label} của {company} cuối năm {year} so với đầu năm {year} thay đổi thế nào?", "{label} cuối năm {year} là {shown}, so với {prior_raw} triệu VND đầu năm.")
+ABROAD = ("What was {company}'s {name} in {year}?", "{title} in {year} was {value_raw} {unit}.")
+DELTA = ("{label} của {company} năm {year} {way} bao nhiêu triệu VND so với năm {year_before}?", "{label} {way} khoảng {amount} triệu VND ({value_raw} năm {year} so với {raw_before} năm {year_before}).")
+QUESTION = "part int, o1 int, o2 int, question string, ground_truth string, answer_type string, statement string, years array<int>, gold_numbers array<string>, difficulty string, lang string"
+
+
+def filled(template: str, company: str) -> Column:
+    """A template with columns in place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template.replace("{company}", company))
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
+def shown(raw: str, value: str) -> Column:
+    """A figure with its unit; parentheses read as a minus in words."""
+    return F.concat(F.when(F.col(value) < 0, F.concat(F.lit("âm "), bare(raw))).otherwise(F.col(raw)), F.lit(" "), F.col("unit"))
+
+
+def bare(raw: str) -> Column:
+    return F.regexp_replace(F.col(raw), r"^[()]+|[()]+$", "")
+
+
+def questions(spark: SparkSession, found: DataFrame, company: str, carried: DataFrame | None = None) -> DataFrame:
+    """Question set over facts: lookups, yearly changes, trends, growth, peaks, margins, opening against closing balances, English lookups,
+    amounts of change, and questions carried over.  Items that a check contradicts are left out, except from margins.  A question asked before
+    (whatever its case) is dropped, the rest are numbered.
+
+    Columns: id, question, ground_truth, answer_type, statement, years, gold_numbers, difficulty, lang.  The windows below order line items
+    and questions, which are bounded by the chart of accounts and the years."""
+    kept = consistent(found)
+    flow = ~F.col("statement").startswith("cdkt")
+    items = kept.select("statement", "code").distinct().withColumn("item", F.row_number().over(Window.orderBy("statement", "code")) - 1)
+    headline = spark.createDataFrame([(st, c, i, ENGLISH.get(c)) for i, (st, c) in enumerate(HEADLINE)], "statement string, code string, head int, name string")
     low = F.concat(F.lower(F.substring("label", 1, 1)), F.substring("label", 2, 10_000))
-    forms = F.array(F.concat(F.lit("{l} của "), F.lit(company), F.lit(" {p} là bao nhiêu?")), F.concat(F.lit("Cho biết {l} của "), F.lit(company), F.lit(" {p}.")), F.concat(F.lit("Giá trị {l} {p} của "), F.lit(company), F.lit(" là bao nhiêu?")))
-    form = F.element_at(forms, (F.pmod(F.col("item") + F.col("year"), F.lit(3)) + 1).cast("int"))
-    lookup = made(base, 1, F.col("item"), F.col("year"), F.replace(F.replace(form, F.lit("{l}"), low), F.lit("{p}"), when(F.col("year"))), F.concat(F.col("label"), F.lit(" "), when(F.col("year")), F.lit(" là "), value, F.lit(" "), F.col("unit"), F.lit(".")), "numeric_single", F.array("year"), F.array(bare), F.when(F.col("code").isin("01", "10", "440"), "easy").otherwise("medium"))
-    moved = changes(found).join(F.broadcast(items), ["statement", "code"]).where("NOT startswith(statement, 'cdkt')")
-    before, bare_before = _quoted("raw_before", "value_before")
-    year, earlier = F.col("year").cast("string"), F.col("year_before").cast("string")
-    yearly = made(moved, 2, F.col("item"), F.col("year"), F.concat(F.col("label"), F.lit(f" của {company} năm "), year, F.lit(" thay đổi thế nào so với năm "), earlier, F.lit("?")), F.concat(F.col("label"), F.lit(" năm "), year, F.lit(" là "), value, F.lit(" "), F.col("unit"), F.lit(", "), F.col("direction"), F.lit(" so với "), before, F.lit(" "), F.col("unit"), F.lit(" năm "), earlier, F.lit(".")), "numeric_compare", F.array("year_before", "year"), F.array(bare, bare_before), "medium")
-    points = base.groupBy("statement", "code", "label", "unit", "item").agg(F.array_sort(F.collect_list(F.struct("year", bare.alias("raw")))).alias("points")).where("size(points) >= 4")
-    years = F.transform("points", lambda p: p["year"])
-    ends = [F.element_at(years, i).cast("string") for i in (1, -1)]
-    trend = made(points, 3, F.col("item"), F.lit(0), F.concat(F.col("label"), F.lit(f" của {company} các năm "), ends[0], F.lit("–"), ends[1], F.lit(" lần lượt là bao nhiêu?")), F.concat(F.col("label"), F.lit(" qua các năm ("), F.col("unit"), F.lit("): "), F.array_join(F.transform("points", lambda p: F.concat(F.lit("năm "), p["year"].cast("string"), F.lit(": "), p["raw"])), ", "), F.lit(".")), "multi_year", years, F.transform("points", lambda p: p["raw"]), "hard")
-    named = base.select("statement", "code", "label", "unit", "item").distinct()
-    grown = growth(found).join(F.broadcast(named), ["statement", "code"])
-    first, last = F.col("first_year").cast("string"), F.col("last_year").cast("string")
-    multiple = made(grown, 4, F.col("item"), F.lit(0), F.concat(F.col("label"), F.lit(f" của {company} năm "), last, F.lit(" gấp khoảng bao nhiêu lần năm "), first, F.lit("?")), F.concat(F.col("label"), F.lit(" tăng từ "), F.col("first_raw"), F.lit(" ("), first, F.lit(") lên "), F.col("last_raw"), F.lit(" ("), last, F.lit("), tức khoảng "), F.format_string("%.1f", "multiple"), F.lit(" lần.")), "reasoning", F.array("first_year", "last_year"), F.array("first_raw", "last_raw"), "hard")
-    top = peak(found).join(F.broadcast(named), ["statement", "code"])
-    highest = made(top, 5, F.col("item"), F.lit(0), F.concat(F.lit("Trong giai đoạn "), first, F.lit("–"), last, F.lit(f", năm nào {company} có "), low, F.lit(" cao nhất?")), F.concat(F.lit("Cao nhất vào năm "), year, F.lit(" với "), value, F.lit(" "), F.col("unit"), F.lit(".")), "reasoning", F.array("first_year", "last_year"), F.array(bare), "hard")
-    margin = ratio(found, "20", "10").withColumn("statement", F.lit("kqkd"))
-    gross = made(margin, 6, F.col("year"), F.lit(0), F.concat(F.lit(f"Biên lợi nhuận gộp của {company} năm "), year, F.lit(" xấp xỉ bao nhiêu phần trăm?")), F.concat(F.lit("Biên lợi nhuận gộp năm "), year, F.lit(" ≈ "), F.format_string("%.1f", "percent"), F.lit("%.")), "reasoning", F.array("year"), F.array("over_raw", "under_raw"), "hard")
-    every = lookup.unionByName(yearly).unionByName(trend).unionByName(multiple).unionByName(highest).unionByName(gross)
+    period = F.when(flow, F.concat(F.lit("năm "), F.col("year").cast("string"))).otherwise(F.concat(F.lit("tại ngày 31/12/"), F.col("year").cast("string")))
+    base = kept.join(F.broadcast(items), list(SERIES)).withColumns({"low": low, "period": period, "shown": shown("value_raw", "value"), "bare": bare("value_raw")})
+    moved = changes(kept).where(flow).join(F.broadcast(items), list(SERIES)).withColumns({"shown": shown("value_raw", "value"), "shown_before": shown("raw_before", "value_before"), "bare": bare("value_raw"), "bare_before": bare("raw_before")})
+    series = base.groupBy(*SERIES, "label", "low", "unit", "item").agg(F.array_sort(F.collect_list(F.struct("year", "bare"))).alias("p")).where("size(p) >= 4")
+    series = series.withColumns({"years": F.transform("p", lambda x: x["year"]), "raws": F.transform("p", lambda x: x["bare"]), "points": F.array_join(F.transform("p", lambda x: F.concat(F.lit("năm "), x["year"].cast("string"), F.lit(": "), x["bare"])), ", ")})
+    series = series.withColumns({"first_year": F.element_at("years", 1), "last_year": F.element_at("years", -1)})
+    out = []
+
+    def add(df: DataFrame, part: int, order, texts, kind: str, years: Column, golds: list, level, lang: str = "vi") -> None:
+        question, truth = (t if isinstance(t, Column) else filled(t, company) for t in texts)
+        question = F.concat(F.upper(F.substring(question, 1, 1)), F.substring(question, 2, 10_000))
+        golds = golds if isinstance(golds, Column) else F.array(*golds)
+        columns = [F.lit(part), *(F.col(o) if isinstance(o, str) else F.lit(o) for o in order), question, truth, F.lit(kind), F.col("statement"), years, golds, level if isinstance(level, Column) else F.lit(level), F.lit(lang)]
+        out.append(df.select(*[c.cast(f.split(" ")[1]).alias(f.split(" ")[0]) for c, f in zip(columns, QUESTION.split(", "), strict=True)]))
+
+    turn = F.pmod(F.col("item") + F.col("year"), F.lit(len(LOOKUPS)))
+    form = F.coalesce(*[F.when(turn == i, filled(t, company)) for i, t in enumerate(LOOKUPS)])
+    add(base, 1, ("item", "year"), (form, LOOKUP_ANSWER), "numeric_single", F.array("year"), ["bare"], F.when(F.col("code").isin("01", "10", "440"), "easy").otherwise("medium"))
+    add(moved, 2, ("item", "year"), YEARLY, "numeric_compare", F.array("year_before", "year"), ["bare", "bare_before"], "medium")
+    add(series, 3, ("item", 0), TREND, "multi_year", F.col("years"), F.col("raws"), "hard")
+    named = series.select(*SERIES, "label", "low", "unit", "years").join(F.broadcast(headline), list(SERIES))
+    grown = growth(kept).join(F.broadcast(named), list(SERIES)).withColumn("multiple", F.format_string("%.1f", "multiple"))
+    add(grown, 4, ("head", 0), GROWTH, "reasoning", F.array("first_year", "last_year"), [bare("first_raw"), bare("last_raw")], "hard")
+    top = peak(kept).join(F.broadcast(named), list(SERIES)).withColumn("shown", shown("value_raw", "value"))
+    add(top, 4, ("head", 1), PEAK, "reasoning", F.col("years"), [bare("value_raw")], "hard")
+    for no, (name, over, under) in enumerate(MARGINS):
+        df = ratio(found, over, under).withColumns({"statement": F.lit("kqkd"), "name": F.lit(name), "percent": F.format_string("%.1f", "percent"), "over_label": F.lit(INCOME[over].lower()), "under_label": F.lit(INCOME[under].lower())})
+        add(df, 5, (no, "year"), MARGIN, "reasoning", F.array("year"), [bare("over_raw"), bare("under_raw")], "hard")
+    add(base.where(~flow), 6, ("item", "year"), OPENING, "numeric_compare", F.array("year"), ["bare", bare("prior_raw")], "medium")
+    abroad = base.join(F.broadcast(headline.where("name IS NOT NULL")), list(SERIES)).withColumn("title", F.concat(F.upper(F.substring("name", 1, 1)), F.substring("name", 2, 200)))
+    add(abroad, 7, ("head", "year"), ABROAD, "numeric_single", F.array("year"), ["bare"], "medium", "en")
+    amounts = moved.join(F.broadcast(headline), list(SERIES)).withColumns({"way": F.when(F.col("delta") > 0, "tăng").otherwise("giảm"), "amount": grouped(F.floor(F.abs("delta")))})
+    add(amounts, 8, ("head", "year"), DELTA, "reasoning", F.array("year_before", "year"), ["bare", "bare_before"], "hard")
+    every = out[0]
+    for df in out[1:]:
+        every = every.unionByName(df)
+    if carried is not None:
+        every = every.unionByName(carried)
     once = every.withColumn("n", F.row_number().over(Window.partitionBy(F.lower(F.trim("question"))).orderBy("part", "o1", "o2"))).where("n = 1")
-    number = F.row_number().over(Window.orderBy("part", "o1", "o2"))  # over a question set, bounded by line items and years
+    number = F.row_number().over(Window.orderBy("part", "o1", "o2"))
     return once.withColumn("id", F.concat(F.lit("q-"), F.lpad(number.cast("string"), 4, "0"))).drop("part", "o1", "o2", "n")
+
+
+def carry(items: DataFrame) -> DataFrame:
+    """Text questions of an earlier set (as ``readers.questions`` gives them) in the form that ``questions`` adds to its own."""
+    kept = items.where(F.col("answer_type").isin("factual", "policy", "reasoning", "unanswerable"))
+    order = F.row_number().over(Window.orderBy("id"))
+    years = F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>"))
+    return kept.select(F.lit(9).alias("part"), order.alias("o1"), F.lit(0).alias("o2"), "question", "ground_truth", "answer_type", F.col("statement_type").alias("statement"), years.alias("years"), "gold_numbers", "difficulty", "lang")

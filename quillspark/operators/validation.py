@@ -16,6 +16,10 @@ LARGE = 1000
 #: Result code, its operands.
 IDENTITIES = (("10", ("01", "02")), ("20", ("10", "11")), ("60", ("50", "51", "52")))
 SEVERITY = ("high", "medium", "low")
+# What findings say.
+RAGGED = "số cột khác header → bảng có thể bị vỡ"
+IN_REFERENCE = "cột Thuyết minh chứa số lớn → OCR điền nhầm ô"
+TWICE = "hai ô số kề nhau trùng giá trị"
 
 
 def find_column(header: Column, *keywords: str) -> Column:
@@ -44,13 +48,13 @@ def structural(rows: DataFrame) -> DataFrame:
     df = _common(rows)
     own = {"file": F.col("file"), "table": F.col("table_idx"), "row": F.col("row_idx"), "ma_so": F.col("ma_so"), "label": F.col("label")}
     ragged = df.where((F.size("cells") != F.col("n_cols")) & (F.size(F.filter("numbers", lambda v: v.isNotNull())) >= 2))
-    out = _finding(ragged, **own, column=F.concat(F.size("cells").cast("string"), F.lit("/"), F.col("n_cols").cast("string"), F.lit(" cols")), value="", rule="ragged_row", severity="low", detail="row width differs from the header")
+    out = _finding(ragged, **own, column=F.concat(F.size("cells").cast("string"), F.lit("/"), F.col("n_cols").cast("string"), F.lit(" cols")), value="", rule="ragged_row", severity="low", detail=RAGGED)
     at = find_column(F.col("header"), "thuyết minh", "thuyet minh")
     ref = df.withColumn("at", at).where("at IS NOT NULL AND at < size(cells)").where(F.abs(F.col("numbers")[F.col("at")]) >= LARGE)
-    out = out.unionByName(_finding(ref, **own, column="Thuyết minh", value=F.col("cells")[F.col("at")], rule="big_num_in_ref_col", severity="high", detail="large figure in the reference column"))
+    out = out.unionByName(_finding(ref, **own, column="Thuyết minh", value=F.col("cells")[F.col("at")], rule="big_num_in_ref_col", severity="high", detail=IN_REFERENCE))
     pairs = F.filter(F.sequence(F.lit(0), F.size("numbers") - 2), lambda i: (F.col("numbers")[i] == F.col("numbers")[i + 1]) & (F.abs(F.col("numbers")[i]) >= LARGE))
     twice = df.where("size(numbers) > 1").withColumn("at", F.get(pairs, F.lit(0))).where("at IS NOT NULL")
-    return out.unionByName(_finding(twice, **own, column=F.concat(F.lit("cols "), F.col("at").cast("string"), F.lit(","), (F.col("at") + 1).cast("string")), value=grouped(F.col("numbers")[F.col("at")]), rule="adjacent_duplicate", severity="high", detail="neighbouring cells hold the same figure"))
+    return out.unionByName(_finding(twice, **own, column=F.concat(F.lit("cols "), F.col("at").cast("string"), F.lit(","), (F.col("at") + 1).cast("string")), value=grouped(F.col("numbers")[F.col("at")]), rule="adjacent_duplicate", severity="high", detail=TWICE))
 
 
 def arithmetic(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -65,7 +69,7 @@ def arithmetic(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
     for result, parts in IDENTITIES:
         expected = sum((F.col(f"v{p}") for p in parts[1:]), F.col(f"v{parts[0]}"))
         off = wide.withColumn("expected", expected).where(F.abs(F.col("expected") - F.col(f"v{result}")) > tolerance)
-        found = _finding(off, file=F.col("file"), table=F.col("table_idx"), row=-1, ma_so=result, label=F.col(f"l{result}"), column="Năm nay", value=grouped(F.col(f"v{result}")), rule="arithmetic_mismatch", severity="medium", detail=F.concat(F.lit(f"expected {'+'.join(parts)}="), grouped(F.col("expected"))))
+        found = _finding(off, file=F.col("file"), table=F.col("table_idx"), row=-1, ma_so=result, label=F.col(f"l{result}"), column="Năm nay", value=grouped(F.col(f"v{result}")), rule="arithmetic_mismatch", severity="medium", detail=F.concat(F.lit(f"kỳ vọng {'+'.join(parts)}="), grouped(F.col("expected")), F.lit(", OCR="), grouped(F.col(f"v{result}"))))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -90,7 +94,7 @@ def cross_year(rows: DataFrame, adjacent_keys: bool = False) -> DataFrame:
         files = rows.select("file").distinct().withColumn("before", (F.col("file").try_cast("int") - 1).cast("string"))
     earlier = pairs.select(F.col("file").alias("before"), "key", F.col("current").alias("was"))
     off = pairs.join(files, "file").join(earlier, ["before", "key"]).where("prior <> was")
-    return _finding(off, file=F.col("file"), table=-1, row=-1, ma_so="", label=F.substring("key", 1, 50), column=F.concat(F.lit("Năm trước (vs "), F.col("before"), F.lit(")")), value=grouped(F.col("prior")), rule="cross_year_mismatch", severity="high", detail=F.concat(F.lit("was "), grouped(F.col("was"))))
+    return _finding(off, file=F.col("file"), table=-1, row=-1, ma_so="", label=F.substring("key", 1, 50), column=F.concat(F.lit("Năm trước (vs "), F.col("before"), F.lit(")")), value=grouped(F.col("prior")), rule="cross_year_mismatch", severity="high", detail=F.concat(F.col("file"), F.lit(" 'năm trước'="), grouped(F.col("prior")), F.lit(" ≠ "), F.col("before"), F.lit(" 'năm nay'="), grouped(F.col("was")), F.lit(" (có thể do trình bày lại)")))
 
 
 def validate(rows: DataFrame) -> DataFrame:

@@ -132,16 +132,24 @@ def opening_vs_closing(spark, sf):
 @query()
 def qa_generate(spark, sf):
     """The question set over consistent facts."""
-    return facts.questions(kept(spark, sf), "Tập đoàn")
+    return facts.questions(spark, found(spark, sf), "Orders")
 
 
 _Q = f"WITH {FACTS}, {_PAIRS}, s AS (SELECT code, count(*) AS n, max_by(value, year) AS l, min_by(value, year) AS f FROM g GROUP BY code)"
 
 
-@query(f"{_Q} SELECT answer_type, difficulty, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'numeric_single' AS answer_type, CASE WHEN code IN ('01', '10', '440') THEN 'easy' ELSE 'medium' END AS difficulty, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT 'numeric_compare', 'medium', count(*) FROM m WHERE year_before IS NOT NULL UNION ALL SELECT 'multi_year', 'hard', count(*) FROM s WHERE n >= 4 UNION ALL SELECT 'reasoning', 'hard', (SELECT count(*) FROM s WHERE n >= 4 AND f > 0 AND l > 0) + (SELECT count(*) FROM s WHERE n >= 4) + (SELECT count(*) FROM g a JOIN g b ON b.year = a.year AND a.code = '20' AND b.code = '10' AND b.value <> 0)) GROUP BY ALL HAVING sum(n) > 0")
+_HEAD = "('01', '10', '11', '20')"
+
+
+@query(f"""{_Q} SELECT answer_type, difficulty, lang, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'numeric_single' AS answer_type, CASE WHEN code IN ('01', '10', '440') THEN 'easy' ELSE 'medium' END AS difficulty, 'vi' AS lang, count(*) AS n FROM g GROUP BY ALL
+UNION ALL SELECT 'numeric_compare', 'medium', 'vi', count(*) FROM m WHERE year_before IS NOT NULL UNION ALL SELECT 'multi_year', 'hard', 'vi', count(*) FROM s WHERE n >= 4
+UNION ALL SELECT 'numeric_single', 'medium', 'en', count(*) FROM g WHERE code IN ('10', '20')
+UNION ALL SELECT 'reasoning', 'hard', 'vi', (SELECT count(*) FROM s WHERE n >= 4 AND code IN {_HEAD} AND f > 0 AND l > 0) + (SELECT count(*) FROM s WHERE n >= 4 AND code IN {_HEAD})
+  + (SELECT count(*) FROM f a JOIN f b ON b.year = a.year AND a.code = '20' AND b.code = '10' AND b.value <> 0) + (SELECT count(*) FROM m WHERE year_before IS NOT NULL AND code IN {_HEAD}))
+GROUP BY ALL HAVING sum(n) > 0""")
 def qa_counts(spark, sf):
-    """Questions by type and difficulty."""
-    return facts.questions(kept(spark, sf), "Tập đoàn").groupBy("answer_type", "difficulty").agg(F.count("*").alias("n"))
+    """Questions by type, difficulty and language."""
+    return facts.questions(spark, found(spark, sf), "Orders").groupBy("answer_type", "difficulty", "lang").agg(F.count("*").alias("n"))
 
 
 PRINTED = "CASE WHEN o_orderkey % 4 = 0 THEN '(' || " + _GROUPED.format("CAST(round(o_totalprice * 100) AS BIGINT)") + " || ')' WHEN o_orderkey % 4 = 1 THEN 'n/a' WHEN o_orderkey % 4 = 2 THEN '-' || " + _GROUPED.format("CAST(round(o_totalprice * 100) AS BIGINT)") + " ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS VARCHAR) || ',' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') END"
@@ -219,7 +227,7 @@ def identity_cells(spark, sf) -> DataFrame:
     return line.select(F.col("l_orderkey").cast("string").alias("file"), F.lit(0).alias("table_idx"), F.lit(5).alias("n_cols"), F.array(*[F.lit(h) for h in HEADER]).alias("header"), rows.alias("r")).select("file", "table_idx", "n_cols", "header", "r.row_idx", "r.cells")
 
 
-@query(f"WITH {_IDENTITY} SELECT file, '10' AS ma_so, {_GROUPED.format('c')} AS value, 'expected 01+02=' || {_GROUPED.format('a - b')} AS detail FROM i WHERE abs(a - b - c) > 1")
+@query(f"WITH {_IDENTITY} SELECT file, '10' AS ma_so, {_GROUPED.format('c')} AS value, 'kỳ vọng 01+02=' || {_GROUPED.format('a - b')} || ', OCR=' || {_GROUPED.format('c')} AS detail FROM i WHERE abs(a - b - c) > 1")
 def arith_identity(spark, sf):
     """Statements in which a sum does not add up."""
     return validation.arithmetic(identity_cells(spark, sf)).select("file", "ma_so", "value", "detail")

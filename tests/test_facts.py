@@ -70,9 +70,20 @@ def test_tier_three_needs_the_year_before(spark):
 
 
 def test_questions_are_numbered_once(spark):
-    from quillspark.plans.statement_queries import kept
-
-    got = facts.questions(kept(spark, "/root/testdata/sf0.001"), "Tập đoàn").orderBy("id").collect()
-    assert len({r["question"].lower() for r in got}) == len(got) and got[0]["id"] == "q-0001"
-    assert {r["answer_type"] for r in got} == {"numeric_single", "numeric_compare", "multi_year", "reasoning"}
-    assert all(r["question"][0].isupper() and r["gold_numbers"] for r in got)
+    from quillspark.plans.statement_queries import found
+
+    known = found(spark, "/root/testdata/sf0.001")
+    carried = spark.createDataFrame([("a", "Chính sách nào?", "x", "policy", "thuyet_minh", None, [], "easy", "vi"), ("b", "?", "x", "numeric_single", "kqkd", 2021, [], "easy", "vi")], "id string, question string, ground_truth string, answer_type string, statement_type string, year int, gold_numbers array<string>, difficulty string, lang string")
+    got = facts.questions(spark, known, "Orders", facts.carry(carried)).orderBy("id").collect()
+    assert len({r["question"].lower() for r in got}) == len(got) and got[0]["id"] == "q-0001" and got[-1]["question"] == "Chính sách nào?"
+    assert {r["answer_type"] for r in got} == {"numeric_single", "numeric_compare", "multi_year", "reasoning", "policy"}
+    assert all(r["question"][0].isupper() for r in got) and {r["lang"] for r in got} == {"vi", "en"}
+
+
+def test_questions_on_balances(spark):
+    cells = [["100", "x", "", "10", "8"], ["110", "x", "", "(4)", "3"], ["200", "x", "", "5", "5"], ["270", "x", "", "15", "13"]]
+    got = {r["question"]: r for r in facts.questions(spark, facts.facts(spark, rows(spark, 2022, cells)), "ABC").collect()}
+    change = got["Tiền và các khoản tương đương tiền của ABC cuối năm 2022 so với đầu năm 2022 thay đổi thế nào?"]
+    assert change["ground_truth"] == "Tiền và các khoản tương đương tiền cuối năm 2022 là âm 4 triệu VND, so với 3 triệu VND đầu năm." and change["gold_numbers"] == ["4", "3"]
+    assert got["What was ABC's current assets in 2022?"]["ground_truth"] == "Current assets in 2022 was 10 triệu VND."
+    assert len(got) == 4 + 4 + 1
