@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, written_by
+from quillspark.llm.common import partitions, tidy, written_by
 
 #: Code points of text after which a block ends.
 BLOCK_CHARS = 24_000_000
@@ -103,7 +103,7 @@ def cut(docs: DataFrame, tokenise: Callable[[], Callable[[str], list[str]]], par
         if ids:
             yield block(index, ids, flags, lens, found)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 def cut_and_write(spark: SparkSession, docs: DataFrame, tokenise, label: str, counted: bool, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, int]:
@@ -144,6 +144,13 @@ def rejoin(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("start", "answer")).alias("answers")), "block", "left")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one at a time: each is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def answers_of(row: dict) -> tuple[int, Iterator[tuple[np.ndarray, bytes]]]:
     """Number of distinct tokens of a block, and for each answer the indexes of its tokens (those from ``start`` on) with its data."""
     places = unsqueeze(row["places"])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import blocks as B
+from quillspark.llm.common import tidy
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,39 +59,38 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
                 sizes = np.array([len(x) // 4 for x in ids], "<u4")
                 yield B.answer(row, B.pack_array(np.concatenate([np.array([len(own)], "<u4"), sizes, np.frombuffer(b"".join(ids), "<u4")])))
 
-    answers = B.dealt(words, parts).mapInArrow(encode_parts, B.ANSWER)
+    answers = B.dealt(words, parts).mapInArrow(tidy(encode_parts), B.ANSWER)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if keep_ids else [])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = {i: b for b, i in vocabulary.value.items()}
         schema = pa.schema(fields)
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, answers = B.answers_of(row)
-                printed, decoded, sizes = [b""] * n, [b""] * n, np.zeros(n, np.int64)
-                for at, data in answers:
-                    flat = B.unpack_array(data, "<u4")
-                    m = int(flat[0])
-                    ends = np.cumsum(flat[1 : m + 1])
-                    tokens, begin = flat[m + 1 :].tolist(), 0
-                    for i, end in zip(at[:m].tolist(), ends.tolist(), strict=True):
-                        own = tokens[begin:end]
-                        printed[i], decoded[i], sizes[i] = " ".join(map(str, own)).encode(), b"".join([spelled[t] for t in own]), end - begin
-                        begin = end
-                flat, begin, out = B.unsqueeze(row["data"]), 0, {name: [] for name, _ in fields}
-                for doc_id, length in zip(row["ids"], row["lens"], strict=True):
-                    at = flat[begin : begin + length]
-                    begin += length
-                    places = at.tolist()
-                    ids, data = b" ".join([printed[i] for i in places]), b"".join([decoded[i] for i in places])
-                    out["doc_id"].append(doc_id)
-                    out["n_tokens"].append(int(sizes[at].sum()))
-                    out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
-                    if keep_ids:
-                        out["ids"].append([int(t) for t in ids.split()])
-                        out["decoded"].append(data)
-                yield pa.RecordBatch.from_pydict(out, schema)
+        for row in B.rows_of(batches):
+            n, answers = B.answers_of(row)
+            printed, decoded, sizes = [b""] * n, [b""] * n, np.zeros(n, np.int64)
+            for at, data in answers:
+                flat = B.unpack_array(data, "<u4")
+                m = int(flat[0])
+                ends = np.cumsum(flat[1 : m + 1])
+                tokens, begin = flat[m + 1 :].tolist(), 0
+                for i, end in zip(at[:m].tolist(), ends.tolist(), strict=True):
+                    own = tokens[begin:end]
+                    printed[i], decoded[i], sizes[i] = " ".join(map(str, own)).encode(), b"".join([spelled[t] for t in own]), end - begin
+                    begin = end
+            flat, begin, out = B.unsqueeze(row["data"]), 0, {name: [] for name, _ in fields}
+            for doc_id, length in zip(row["ids"], row["lens"], strict=True):
+                at = flat[begin : begin + length]
+                begin += length
+                places = at.tolist()
+                ids, data = b" ".join([printed[i] for i in places]), b"".join([decoded[i] for i in places])
+                out["doc_id"].append(doc_id)
+                out["n_tokens"].append(int(sizes[at].sum()))
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+                if keep_ids:
+                    out["ids"].append([int(t) for t in ids.split()])
+                    out["decoded"].append(data)
+            yield pa.RecordBatch.from_pydict(out, schema)
 
     kept = ", ids array<int>, decoded binary" if keep_ids else ""
-    return B.rejoin(blocks, answers).mapInArrow(reassemble, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
+    return B.rejoin(blocks, answers).mapInArrow(tidy(reassemble), f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")

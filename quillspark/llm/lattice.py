@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import blocks as B
-from quillspark.llm.common import ascii_lower
+from quillspark.llm.common import ascii_lower, tidy
 
 MARK = "▁"
 #: Weight of the existing scores against the expected counts of the corpus.
@@ -182,7 +182,7 @@ def score(spark: SparkSession, docs: DataFrame, scored: list[tuple[str, float]],
         yield pa.RecordBatch.from_pydict({"name": keys, "expected": [*pieces.values(), *byte.values(), float(n), float(distinct), float(seen[1]), float(seen[2])]}, pa.schema([("name", pa.string()), ("expected", pa.float64())]))
 
     # At most one row for each piece of the fixed vocabulary comes to the driver.
-    summed = {r["name"]: r["total"] for r in B.dealt(tokens, parts).mapInArrow(expectations, "name string, expected double").groupBy("name").agg(F.sum("expected").alias("total")).collect()}
+    summed = {r["name"]: r["total"] for r in B.dealt(tokens, parts).mapInArrow(tidy(expectations), "name string, expected double").groupBy("name").agg(F.sum("expected").alias("total")).collect()}
     ends = int(blocks.agg(F.coalesce(F.sum(F.aggregate("flags", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"])
     n_train, n_distinct = int(summed.pop("n", 0)) + ends, int(summed.pop("v", 0)) + (ends > 0)
     spans = Spans(n_train, n_distinct, int(summed.pop("1", 0)), int(summed.pop("2", 0)))
@@ -197,30 +197,29 @@ def score(spark: SparkSession, docs: DataFrame, scored: list[tuple[str, float]],
                 own = [known[w] for w in B.unpack_words(row["data"])]
                 yield B.answer(row, B.pack_array(np.array([[t for t, _ in own], [p for _, p in own]], "<f8")))
 
-    answers = B.dealt(tokens, parts).mapInArrow(values, B.ANSWER)
+    answers = B.dealt(tokens, parts).mapInArrow(tidy(values), B.ANSWER)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Without training documents nothing is known of the end; it then has probability 1.
         each, end = math.log10(n_train + n_distinct + 1), spans.edge(ends) if ends else 0.0
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, answers = B.answers_of(row)
-                times, weight = np.zeros(n), np.zeros(n)
-                for at, data in answers:
-                    found = B.unpack_array(data, "<f8").reshape(2, -1)
-                    times[at[: found.shape[1]]], weight[at[: found.shape[1]]] = found
-                smoothed, flat, begin, out = np.log10(times + 1), B.unsqueeze(row["data"]), 0, {c: [] for c in schema.names}
-                for doc_id, flag, length in zip(row["ids"], row["flags"], row["lens"], strict=True):
-                    at = flat[begin : begin + length]
-                    begin += length
-                    out["doc_id"].append(doc_id)
-                    out["held_out"].append(not flag)
-                    out["n_tokens"].append(length + 1)
-                    out["n_known"].append(int((times[at] > 0).sum()) + (ends > 0))
-                    out["train_tokens"].append(n_train)
-                    out["base_score"].append(float(smoothed[at].sum() + math.log10(ends + 1) - (length + 1) * each))
-                    out["score"].append(float((weight[at].sum() + end) / math.log(10)))
-                yield pa.RecordBatch.from_pydict(out, schema)
-
-    return B.rejoin(blocks, answers).mapInArrow(reassemble, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for row in B.rows_of(batches):
+            n, answers = B.answers_of(row)
+            times, weight = np.zeros(n), np.zeros(n)
+            for at, data in answers:
+                found = B.unpack_array(data, "<f8").reshape(2, -1)
+                times[at[: found.shape[1]]], weight[at[: found.shape[1]]] = found
+            smoothed, flat, begin, out = np.log10(times + 1), B.unsqueeze(row["data"]), 0, {c: [] for c in schema.names}
+            for doc_id, flag, length in zip(row["ids"], row["flags"], row["lens"], strict=True):
+                at = flat[begin : begin + length]
+                begin += length
+                out["doc_id"].append(doc_id)
+                out["held_out"].append(not flag)
+                out["n_tokens"].append(length + 1)
+                out["n_known"].append(int((times[at] > 0).sum()) + (ends > 0))
+                out["train_tokens"].append(n_train)
+                out["base_score"].append(float(smoothed[at].sum() + math.log10(ends + 1) - (length + 1) * each))
+                out["score"].append(float((weight[at].sum() + end) / math.log(10)))
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+    return B.rejoin(blocks, answers).mapInArrow(tidy(reassemble), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

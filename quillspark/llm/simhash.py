@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, partitions, written
+from quillspark.llm.common import ascii_lower, partitions, tidy, written
 from quillspark.llm.components import components
 
 #: Fingerprints of one top node that one task holds.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, columns: list[str], shingle: int = 4) -> DataF
             found = np.array([fingerprint(ascii_lower(t), shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.int64())], names=[*columns, "fp"])
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, fields.add("fp", "long"))
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(tidy(run), fields.add("fp", "long"))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -214,7 +214,7 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int =
         if key is not None and (out := close(key, held)) is not None:
             yield out
 
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, columns: list[str], radius: int = 4, shingle: int = 4, tile: int = TILE) -> DataFrame:

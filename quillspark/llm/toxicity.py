@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import tidy, written
 
 #: Labelled documents of each class that a model learns from, at most.
 PER_CLASS = 6000
@@ -128,7 +128,7 @@ def count_pairs(texts: DataFrame) -> DataFrame:
             zero = [0] * len(keys)
             yield pa.RecordBatch.from_pydict({"h": [p[0] for p in keys], "w": [p[1] for p in keys], "toxic": n if k else zero, "plain": zero if k else n, "in_toxic": docs if k else zero, "in_plain": zero if k else docs}, pa.schema([("h", pa.string()), ("w", pa.string()), *((c, pa.int64()) for c in COUNTS)]))
 
-    return texts.select("text", "toxic").mapInArrow(run, "h string, w string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("h", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return texts.select("text", "toxic").mapInArrow(tidy(run), "h string, w string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("h", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def beyond_chance(share: Column, errors: float = CHANCE) -> Column:
@@ -186,7 +186,7 @@ def fit(spark: SparkSession, texts: DataFrame, stands_for: dict[int, float]) ->
             found = [shipped.value.features(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic"), batch.column("fold")], names=["a", "b", "toxic", "fold"])
 
-    held = texts.mapInArrow(measure, "a double, b double, toxic int, fold int").orderBy("a", "b", "toxic", "fold").toPandas()
+    held = texts.mapInArrow(tidy(measure), "a double, b double, toxic int, fold int").orderBy("a", "b", "toxic", "fold").toPandas()
     if held[held["fold"] == 1]["toxic"].nunique() == 2:  # else too few documents to set any apart
         held = held[held["fold"] == 1]
     model.weights = logistic(held[["a", "b"]].to_numpy(), held["toxic"].to_numpy(), np.array([stands_for.get(int(k), 1.0) for k in held["toxic"]]))
@@ -223,4 +223,4 @@ def with_score(spark: SparkSession, docs: DataFrame, model: Model | None, column
             found = [shipped.value.score(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.float64())], names=[*columns, name])
 
-    return docs.select(*read).mapInArrow(run, docs.select(*columns).schema.add(name, "double"))
+    return docs.select(*read).mapInArrow(tidy(run), docs.select(*columns).schema.add(name, "double"))
