@@ -63,12 +63,12 @@ def table_records(pages: DataFrame, text: str = "markdown") -> DataFrame:
     return found.select(*keep, "index", (F.size("grid") - 1).alias("n_rows"), F.array_max(F.transform("grid", lambda r: F.size(r))).alias("n_cols"), F.col("grid")[0].alias("header"), F.slice("grid", F.lit(2), F.size("grid")).alias("rows"))
 
 
-def clean_markdown(text: Column, strip: bool = True) -> Column:
-    """Text with its HTML tables as pipe tables, other tags gone if ``strip``, and one newline at the end."""
+def clean_markdown(text: Column, strip_tags: bool = True) -> Column:
+    """Text with its HTML tables as pipe tables, other tags gone if ``strip_tags``, and one newline at the end."""
     pieces = F.split(text, r"(?is)<table.*?</table>", -1)
     tables = F.transform(html_grids(text), lambda g: pipe_table(g))
     joined = F.array_join(F.flatten(F.zip_with(pieces, tables, lambda p, t: F.array(p, F.coalesce(F.concat(F.lit("\n"), t, F.lit("\n")), F.lit(""))))), "")
-    body = strip_html(joined) if strip else F.regexp_replace(joined, "\n{3,}", "\n\n")
+    body = strip_html(joined) if strip_tags else F.regexp_replace(joined, "\n{3,}", "\n\n")
     return F.concat(strip(body), F.lit("\n"))
 
 
