@@ -24,11 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat its id, one."""
+    """The document with the smallest id of each near-duplicate group; of rows of the group that repeat its id, one.  Groups may have ids
+    in common, null among them."""
     columns = docs.columns
     keyed = docs.withColumn("__row_key", F.xxhash64(*columns))
     found = simhash.near_duplicates(spark, keyed, ["doc_id", "__row_key"])
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__row_key").alias("__row_key"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("__row_key").alias("__row_key"))
     return keyed.join(first.select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*columns)
 
 

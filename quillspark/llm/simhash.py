@@ -218,11 +218,12 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int =
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, columns: list[str], radius: int = 4, shingle: int = 4, tile: int = TILE) -> DataFrame:
-    """``columns`` (doc_id among them), fp and component_id: the smallest doc_id that is reachable over links."""
+    """``columns`` (doc_id among them), fp, root and component_id.  root is the smallest fingerprint that is reachable over links and tells
+    components apart; component_id is the smallest doc_id of the component, which components may have in common."""
     prints = written(spark, fingerprints(docs, columns, shingle), "simhash")
     classes = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(spark, links(spark, classes.select("fp"), radius, tile), "simhash")
     grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = grouped.select("fp", "root").join(named, "root").select("fp", "component_id")
+    answer = grouped.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
     return prints.join(answer, "fp")

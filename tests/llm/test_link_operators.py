@@ -141,3 +141,12 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, data):
         assert docs.count() >= 0
     once = corpus_pipeline.drop_near_duplicates(spark, odd, data).collect()
     assert sorted(r["doc_id"] for r in once if r["doc_id"] is not None) == [1, 2, 4, 5, 6, 7, 9, 12] and len(once) in (8, 9)
+
+
+def test_pipeline_keeps_unlike_rows_that_share_an_id(spark):
+    import corpus_pipeline
+    texts = {k: " ".join(f"{k}{i * i}" for i in range(40)) for k in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (7, texts["d"]), (8, texts["d"]), (None, texts["e"]), (9, texts["e"]), (9, texts["f"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, None).collect())
+    assert got == Counter([(None, texts["a"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (9, texts["e"]), (9, texts["f"])])
