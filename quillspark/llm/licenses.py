@@ -3,8 +3,9 @@
 All rolling word 2-gram hashes of the texts are joined with the positions at which templates hold them.  A hit votes for its
 diagonal: word position in the text less position in the template.  Votes are counted for each (text, template,
 diagonal); neighbouring diagonals, which a word more or less in the text sets apart, are merged; a merged diagonal is verified
-by the share of template positions it covers.  The short base phrases must be covered whole on a single diagonal, which
-means that its words stand there consecutively.
+by the share of template positions it covers, and by the words that tell its template from others, each of which must stand in
+a covered 2-gram.  The short base phrases must be covered whole on a single diagonal, which means that its words stand there
+consecutively.
 
 The templates are a fixed list, so their side of the join is broadcast.  Only hits are moved, after they are counted within tasks.
 
@@ -37,21 +38,23 @@ BASE = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
-# Opening words of public license notices, with labels.
+# Opening words of public license notices, with labels and the words without which a notice is another one.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("licensed under the mit license", "mit"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0"),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
-    ("this work is licensed under a creative commons attribution", "creative-commons"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu", "gnu-notice"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("licensed under cc by sa", "cc-by-sa"),
-    ("licensed under cc by nd", "cc-by-nd"),
+    ("licensed under the apache license version 2 0", "apache-2.0", "apache 2"),
+    ("licensed under the mit license", "mit", "mit"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", ""),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", ""),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0", "mozilla"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", ""),
+    ("this work is licensed under a creative commons attribution", "creative-commons", "commons"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", ""),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu", "gnu-notice", "gnu"),
+    ("licensed under cc by nc", "cc-by-nc", "nc"),
+    ("licensed under cc by sa", "cc-by-sa", "sa"),
+    ("licensed under cc by nd", "cc-by-nd", "nd"),
+    ("licensed under cc by nc sa", "cc-by-nc-sa", "nc sa"),
+    ("licensed under cc by nc nd", "cc-by-nc-nd", "nc nd"),
 )
 
 
@@ -67,12 +70,15 @@ def word_hash(word: str) -> int:
 
 
 def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
-    """A row for each 2-gram of each template."""
+    """A row for each 2-gram of each template; ``own`` has a bit for each of the template's own words that the 2-gram holds, ``needs``
+    the bits of all of them."""
     rows = []
-    for no, (phrase, label) in enumerate([*base, *notices]):
-        hashes = rolling(np.array([word_hash(w) for w in phrase.split(" ")], np.uint64)).view(np.int64)
-        rows += [(no, no < len(base), label, i, len(hashes), int(h)) for i, h in enumerate(hashes)]
-    return spark.createDataFrame(rows, "template int, is_base boolean, label string, place int, places int, hash long")
+    for no, (phrase, label, *own) in enumerate([*base, *notices]):
+        words, own = phrase.split(" "), " ".join(own).split()
+        hashes = rolling(np.array([word_hash(w) for w in words], np.uint64)).view(np.int64)
+        bits = [sum(1 << b for b, w in enumerate(own) if w in words[i : i + 2]) for i in range(len(hashes))]
+        rows += [(no, no < len(base), label, i, len(hashes), bits[i], (1 << len(own)) - 1, int(h)) for i, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "template int, is_base boolean, label string, place int, places int, own int, needs int, hash long")
 
 
 #: Word hashes that a task remembers.
@@ -136,15 +142,15 @@ def scan(spark: SparkSession, docs: DataFrame, base=BASE, notices=NOTICES) -> tu
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     texts = counted(keyed)
     hits = grams_of(keyed).join(F.broadcast(templates(spark, base, notices)), "hash")
-    own = ["doc_id", "th", "template", "is_base", "label", "places"]
-    diagonals = hits.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("covered"), F.min("at").alias("low"), F.max("at").alias("high"))
+    keys = ["doc_id", "th", "template", "is_base", "label", "places", "needs"]
+    diagonals = hits.groupBy(*keys, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("covered"), F.bit_or("own").alias("own"), F.min("at").alias("low"), F.max("at").alias("high"))
     # One path for both kinds of template: the diagonals of a base phrase are never merged.
     order = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("is_base"), 0).otherwise(GAP)
     merged = diagonals.withColumn("new", apart.cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(order))
-    merged = merged.groupBy(*own, "island").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.min("low").alias("first_word"), (F.max("high") + 1).alias("last_word"))
+    merged = merged.groupBy(*keys, "island").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.bit_or("own").alias("own"), F.min("low").alias("first_word"), (F.max("high") + 1).alias("last_word"))
     cover = F.size("covered") / F.col("places")
-    verified = merged.where(cover >= F.when(F.col("is_base"), 1.0).otherwise(COVER))
+    verified = merged.where(cover >= F.when(F.col("is_base"), 1.0).otherwise(COVER)).where("own = needs")
     return texts, verified.select("doc_id", "th", "template", "is_base", "label", "first_word", "last_word", cover.alias("cover"))
 
 

@@ -186,6 +186,17 @@ def test_licenses_merge_diagonals(spark):
     assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["mit", "mit", "", ""] and got[1]["score"] == 1.0 > got[2]["score"] > 0.7
 
 
+def test_licenses_need_the_words_that_tell_notices_apart(spark):
+    cc = {"Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "Licensed under CC BY-ND 4.0": "cc-by,cc-by-nd", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc,cc-by-nc-nd"}
+    others = {"Licensed under the Apache License, Version 2.0": "apache-2.0", "Licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache License, Version 1.1": "", "Licensed under the Mozilla License, Version 2.0": "", "Distributed under the MIT license": "mit"}
+    others["This Source Code Form is subject to the terms of the Eclipse Public License"] = ""
+    others["This program is free software: you can redistribute it and/or modify it under the terms of the MIT"] = ""
+    want = list({**cc, **others}.items())
+    df = spark.createDataFrame([(i, f"head {t} tail") for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.summary(*licenses.scan(spark, df)).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(want)] == want
+
+
 def check_mix(docs):
     rows = mixing.mix(docs).collect()
     sizes, taken, goal = Counter(), Counter(), {}
