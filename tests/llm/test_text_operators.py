@@ -67,6 +67,26 @@ def test_pii_added_kinds_and_checksums(spark):
     assert [("iban" in kinds[0]), ("iban" in kinds[1]), kinds[2], kinds[3], kinds[4], kinds[5]] == [True, False, {"ssn"}, set(), {"secret"}, set()]
 
 
+def test_pii_account_numbers_end_where_they_end(spark):
+    de, gb, be = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"
+    texts = {
+        f"IBAN {de} Please pay": [de], f"{gb} The rest": [gb], f"{gb} OK": [gb], f"{de} 2 copies": [de], "DE89 3704 0044 0532 0130 00 17 days": ["DE89 3704 0044 0532 0130 00"],
+        f"{be} PLEASE": [be], f"{be} 2019": [be], f"{de} {gb} {be} NOW": [de, gb, be], f"{gb} {de}": [gb, de], f"{de}x": [], f"{de}0": [], "DE88370400440532013000 Please": [],
+        # A country that is not listed: without blanks or in fours.
+        "XX89 1234 5678 9012 Please": ["XX89 1234 5678 9012"], "XX89123456789012 A": ["XX89123456789012"], "XX891234567890123 A": [],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [r["text"][s.start : s.end] for s in r["spans"] if s.kind == "iban"] for r in pii.with_spans(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert pii.redact(df.withColumn("n_chars", F.length("text"))).where("doc_id = 7").first()["text"] == "<IBAN> <IBAN> <IBAN> NOW"
+
+
+def test_pii_secrets_in_capitals(spark):
+    df = spark.createDataFrame([(1, 'TOKEN = "' + "9A8ECF7C" * 5 + '" end'), (2, "9A8ECF7C" * 5)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s.kind, s.end - s.start) for s in r["spans"]] for r in pii.with_spans(df).collect()}
+    assert got == {1: [("secret", 40)], 2: []}
+
+
 def test_pii_redacts(spark, odd, none):
     got = {r["doc_id"]: r for r in pii.redact(odd).collect()}
     assert got[1]["text"].endswith("Write to <EMAIL> or <PHONE> now") and got[1]["n_chars"] == len(got[1]["text"])
