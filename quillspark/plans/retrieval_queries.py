@@ -441,6 +441,12 @@ def document_status(spark, sf):
     return table(spark, sf, "documents").select("doc_id", name.alias("name"), text.file_kind(name).alias("kind"), text.doc_year(name, F.lit("")).alias("year"), text.progress(F.col("doc_id") % 100, F.lit(100)).alias("progress"))
 
 
+@query("SELECT doc_id, CAST(nullif(regexp_extract(substr(coalesce(text, ''), 1, 2000), '(^|[^0-9])((19|20)[0-9][0-9])([^0-9]|$)', 2), '') AS BIGINT) AS year FROM documents")
+def document_year(spark, sf):
+    """Year of uploads whose names have none: from the first 2000 characters of the text."""
+    return table(spark, sf, "documents").select("doc_id", text.doc_year(F.lit("upload.md"), F.col("text")).alias("year"))
+
+
 @query(f"WITH {BM25}, t AS (SELECT *, {RANK} AS rank FROM bm), r AS (SELECT t.qid, t.id, t.score, len(text) AS rerank_score FROM t JOIN documents ON doc_id = id WHERE rank <= 10) SELECT qid, id, score, rerank_score, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, score DESC, id) AS rk FROM r) WHERE rk <= 5")
 def reranked(spark, sf):
     """Candidates ordered anew by an injected scorer; the retrieval score stays."""

@@ -54,3 +54,13 @@ def test_query_gives_rows(spark, data, name):
 
 def test_entry(spark):
     assert len(entry.entry(spark).columns) == 4
+
+
+def test_document_year_reads_texts(spark):
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    found = {r["doc_id"]: re.search(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])", (r["text"] or "")[:2000]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {i: int(m[0]) for i, m in found.items() if m}
+    got = {r["doc_id"]: r["year"] for r in QUERIES["document_year"](spark, sf).where("year IS NOT NULL").collect()}
+    assert len(want) == 3 and got == want
