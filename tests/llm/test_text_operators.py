@@ -271,6 +271,100 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.fit(spark, *toxicity.sample(odd, labels.limit(0), F.lit(True))) is None
 
 
+def brute_toxicity(texts, text):
+    """The length-normalised difference of a text, every expression counted and estimated anew, nothing pruned."""
+    kept = [(set(zip(w, w[1:])), set(w), y) for w, y in ((toxicity.words_of(t), y) for t, y in texts)]
+    docs = {
+        "pair": lambda x: [y for pairs, _, y in kept if x in pairs],
+        "word": lambda x: [y for _, words, y in kept if x in words],
+        "stem": lambda x: [y for _, words, y in kept if any(w.startswith(x) for w in words)],
+    }
+    every = {"pair": set().union(*(p for p, _, _ in kept)), "word": set().union(*(w for _, w, _ in kept))}
+    every["stem"] = {w[:n] for w in every["word"] for n in toxicity.STEMS if len(w) >= n}
+    counts = {k: {x: (sum(docs[k](x)), len(docs[k](x)) - sum(docs[k](x))) for x in every[k]} for k in every}
+    share = {k: sum(a for a, _ in c.values()) / sum(a + b for a, b in c.values()) for k, c in counts.items()}
+
+    def discount(order, n):
+        c, found = list(counts[order].values()), 0.5
+        for m in range(1, min(n, toxicity.LEVELS) + 1):
+            # Every occurrence left out in turn: the others are all of one class, the one left out may be of the other.
+            met = [(lone, rest) for x in c for k in (0, 1) for lone in ([1] * x[1 - k] if x[k] == m and x[1 - k] == 1 else [0] * (x[k] if x[k] == m + 1 and not x[1 - k] else 0)) for rest in [k]]
+            other = sum(lone for lone, _ in met)
+            chance = sum((1 - share[order]) if rest == 0 else share[order] for _, rest in met)
+            found = min(float(m), max(found, m * (other + 1.0) / (chance + 1.0)))
+        return found
+
+    def ratio(order, x, below):
+        a, b = counts[order][x]
+        d, prior = discount(order, a + b), share[order] / (1 - share[order])
+        q = prior * math.exp(below) / (1 + prior * math.exp(below))
+        spare = min(d, a) + min(d, b)
+        return math.log((max(a - d, 0) + spare * q) / (max(b - d, 0) + spare * (1 - q)) / prior)
+
+    def stem(w):
+        value = 0.0
+        for n in toxicity.STEMS:
+            if len(w) >= n and sum(counts["stem"].get(w[:n], (0, 0))) >= toxicity.LEAST["stem"]:
+                value = ratio("stem", w[:n], value)
+        return value
+
+    enough = lambda k, x: sum(counts[k].get(x, (0, 0))) >= toxicity.LEAST[k]
+    word = lambda w: ratio("word", w, stem(w)) if enough("word", w) else stem(w)
+    own, total = toxicity.words_of(text), 0.0
+    for h, w in zip([None, *own], own):
+        first = word(h) if h is not None and enough("word", h) else 0.0
+        total += ratio("pair", (h, w), first + word(w)) - first if h is not None and enough("pair", (h, w)) else word(w)
+    return total / len(own) if own else 0.0
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    import random
+
+    deal = random.Random(5)
+    names = [a + b for a in ("alma", "brio", "cen", "du") for b in ("", "ra", "ras", "to", "tolin")]
+    texts = [(" ".join(deal.choices(names + ["vile"] * (3 * y), k=25) + ["end", "of", "it"] * (i % 3)) + f" only{i}", y) for i, y in enumerate([1] * 12 + [0] * 30)]
+    df = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(texts)], "text string, toxic int, fold int").repartition(4)
+    counts = toxicity.count_expressions(df)
+    counts = counts.select("h", "w", (F.col("plain") + F.col("plain_held")).alias("plain"), (F.col("toxic") + F.col("toxic_held")).alias("toxic"))
+    model = toxicity.learn(counts, 0.0, 0.0)
+    for text in [t for t, _ in texts[::5]] + ["", "unknown words", "vile vile almaraz of end it vilest", "It. END of it almatolinda"]:
+        assert math.isclose(model.difference(toxicity.words_of(text)), brute_toxicity(texts, text), abs_tol=1e-9)
+
+
+def test_toxicity_copies_are_one_witness(spark):
+    rows = [("a b c d e f g h", 1, i % 2) for i in range(50)] + [("q r s t u v w x", 0, 0), (None, 0, 1), ("", 0, 1), ("a b c d e f g h", 0, 0)]
+    got = toxicity.without_copies(spark.createDataFrame(rows, "text string, toxic int, fold int")).collect()
+    assert Counter((r["text"] or "", r["toxic"]) for r in got) == Counter([("a b c d e f g h", 1), ("q r s t u v w x", 0), ("", 0), ("a b c d e f g h", 0)])
+
+
+def test_toxicity_quality_does_not_fall_with_more_rows(spark):
+    """The bound on the sample binds here: a class gives all it has, an eighth, a twenty-fourth."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    caught = []
+    for bound in (6000, 300):
+        texts, stands_for = toxicity.sample(docs, labels, crc_mod("doc_id", 4) != 2, bound)
+        got = toxicity.with_score(spark, docs, toxicity.fit(spark, texts, stands_for), ["doc_id"]).join(labels, "doc_id").where(crc_mod("doc_id", 4) == 2).toPandas()
+        hit = got[got.score >= toxicity.THRESHOLD]
+        caught.append(hit.toxic.sum() / got.toxic.sum())
+        assert hit.toxic.mean() > 0.9
+    assert caught[0] > 0.9 and caught[1] > 0.75
+
+
+def test_logistic_reaches_its_maximum():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for scale in (0.01, 1.0, 300.0):  # from overlapping to apart
+        x = np.concatenate([rng.normal(0, 1, (400, 2)), rng.normal(0.05 * scale, 1, (60, 2))])
+        y, weight = np.repeat([0, 1], [400, 60]), np.repeat([11.0, 1.0], [400, 60])
+        beta = np.array(toxicity.logistic(x, y, weight))
+        s = np.maximum(x.std(axis=0), 1e-9)
+        p = 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
+        gradient = (weight * (y - p)) @ np.column_stack([np.ones(460), x / s]) - np.array([1e-6, 0.05, 0.05]) * beta * np.array([1, *s])
+        assert np.abs(gradient).max() < 1e-3
+
+
 def test_langid_held_out(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_langid(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
