@@ -118,6 +118,13 @@ def test_html_tables(spark):
     assert "| Mã số | Năm nay |\n|---|---|\n| 01 | 125.780.761 |\n| 02 | a\\|b |" in clean and "<" not in clean and "\n\n\n" not in clean and "<img" in kept
 
 
+def test_grids_of_untidy_tables():
+    assert tables.grid_of("<table><tr class='r'><td>a &amp; b<br/>c</td><th> d </th></tr><!-- x --><TR><TD>1 &lt; 2<!-- gone --></TD ></TR></table>") == [["a & bc", "d"], ["1 < 2"]]
+    assert tables.grid_of("<table><tr><td>open<td>closed</td><tr><td>second</td></tr><td>no row</td></table>") == [["second"]]
+    assert tables.grid_of("<table><tr><td>open<td>closed</td></tr><tr></tr></table>") == [["closed"], []]
+    assert tables.grid_of("") == [] and tables.grid_of("<tr><td>5 > 3 &eacute;</td></tr>") == [["5 > 3 é"]]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "2021_tables.json").write_text(json.dumps({"tables": [{"index": 3, "n_rows": 1, "n_cols": 2, "header": ["a", "b"], "rows": [["1"]]}]}))
     (tmp_path / "list.json").write_text(json.dumps([{"header": [], "rows": [["x", "y"]]}]))
