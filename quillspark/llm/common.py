@@ -85,6 +85,38 @@ def tidy(run):
     return wrapped
 
 
+def whole_row(docs: DataFrame, name: str = "row"):
+    """All columns of ``docs`` as one struct, so that no name of theirs can meet one used inside."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underlines before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def unpacked(columns: list[str], row: str = "row") -> list:
+    """Columns of such a struct under their own names."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left joined with right, which has a row for each key.  The keys in ``hot`` (one column named as ``key``; the caller sees to it that
+    they are few) are joined by broadcast, so that a key with a third of all rows is no single task; all others by shuffle."""
+    hot = F.broadcast(hot)
+    return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(left.join(hot, key, "left_anti").join(right, key))
+
+
+#: A key is hot if it holds more than one in so many rows: there can be no more hot keys than that.
+HOT = 1000
+
+
 def crc_mod(column, n: int):
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

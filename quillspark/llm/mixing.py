@@ -9,9 +9,10 @@ own stretch crosses.  The order by size keeps the words taken near the target.
 The running sum needs no task to see a whole source: (source, size class, salt) is ranked on its own, and starts where
 the counts of the earlier classes end.  The salt splits a class that holds a third of all rows.
 
-Null texts have size 0; sizes of 0 are sampled like others and take nothing.  Null sources form one source, last in order.  Ties
-are broken by id, and rows that are repeated exactly are interchangeable.  Empty tables give no rows.  Columns of the input that
-are named like an output column are replaced.
+Null and empty texts have size 0; sizes of 0 are sampled like others and take nothing.  Very long texts are one document like any
+other, counted whole; a source that holds nothing else can miss its target by half of one.  Null sources form one source, last in order.  Ties
+are broken by id and then by the text, and rows that are repeated exactly are interchangeable.  Empty tables give no rows.
+Columns of the input may have any names; ``mix`` replaces those that are named like what it adds, ``mixture`` replaces none.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD
+from quillspark.llm.common import WORD, unpacked, whole_row
 
 # Weights of the sources in order, repeating; the mix is this share of all sizes; no source exceeds this many times its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -45,31 +46,45 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return df.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
-    """docs and: size, source_size, target, copies and taken (copies times size)."""
-    own = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def drawn(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
+    """(row, size, source_size, target, copies) of each row of docs; ``row`` holds it whole."""
+    source = F.col("row").getField("source")
+    key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string")))
+    size = F.coalesce(F.regexp_count(F.col("row").getField(text), F.lit(WORD)), F.lit(0)).cast("long")
     # Size class: number of binary digits, then the leading three.
-    binary = F.bin("__size")
-    df = docs.select(*own, key.alias("__source"), size.alias("__size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"))
-    df = df.select(*own, "__source", "__size", "__id", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 3)).alias("__class"), number(F.col("__id"), seed).alias("__order"))
-    df = df.withColumn("__salt", F.col("__order") % salts)
-    classes = df.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words"), F.first("source").alias("source"))
-    sized = classes.groupBy("__source").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
+    binary = F.bin("size")
+    df = docs.select(whole_row(docs)).select("row", source.alias("source"), key.alias("key"), size.alias("size"), F.col("row").getField("doc_id").cast("string").alias("id"))
+    df = df.select("row", "source", "key", "size", F.coalesce("id", F.lit("")).alias("id"), F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 3)).alias("class"), number(F.coalesce("id", F.lit("")), seed).alias("order"), F.col("id").isNull().alias("nameless"))
+    # Rows without an id would all have one salt.
+    content = F.xxhash64(F.col("row").getField(text))
+    df = df.withColumn("salt", F.when(F.col("nameless"), F.pmod(content, F.lit(salts))).otherwise(F.col("order") % salts))
+    classes = df.groupBy("key", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
+    sized = classes.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     goal = targets(sized.select("source", "source_size")).withColumnRenamed("source", "of")
-    goal = goal.select(F.when(F.col("of").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("of").cast("string"))).alias("__source"), F.col("source_size").alias("__words"), "target")
-    before = F.sum("n").over(Window.partitionBy("__source").orderBy("__class", "__salt")) - F.col("n")
-    starts = classes.select("__source", "__class", "__salt", before.alias("__before")).join(goal, "__source")
-    rank = F.row_number().over(Window.partitionBy("__source", "__class", "__salt").orderBy("__size", "__order", "__id"))
-    df = df.withColumn("__rank", rank).join(starts, ["__source", "__class", "__salt"])
-    rate = F.when(F.col("__words") > 0, F.col("target") / F.col("__words")).otherwise(0.0)
-    at, offset = F.col("__before") + F.col("__rank"), number(F.col("__source"), seed) / F.lit(2.0**32)
+    goal = goal.select(F.when(F.col("of").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("of").cast("string"))).alias("key"), F.col("source_size").alias("words"), "target")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("class", "salt")) - F.col("n")
+    starts = classes.select("key", "class", "salt", before.alias("before")).join(goal, "key")
+    rank = F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", "order", "id", content))
+    df = df.withColumn("rank", rank).join(starts, ["key", "class", "salt"])
+    rate = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
+    at, offset = F.col("before") + F.col("rank"), number(F.col("key"), seed) / F.lit(2.0**32)
     copies = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
-    df = df.withColumn("__copies", F.least(copies, F.ceil(rate)).cast("long"))
-    return df.select(*own, F.col("__size").alias("size"), F.col("__words").alias("source_size"), "target", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    return df.select("row", "size", F.col("words").alias("source_size"), "target", F.least(copies, F.ceil(rate)).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
+    """docs and: size, source_size, target, copies and taken (copies times size)."""
+    own = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
+    df = drawn(docs, text, seed, salts)
+    return df.select(*unpacked(own), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
+    """The mix itself: each row of docs, with its own columns, as many times as it is taken."""
+    df = drawn(docs, text, seed, salts).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return df.select(*unpacked(docs.columns))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as many times as it is taken."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The same from what ``mix`` gives."""
+    return mixed.where("copies > 0").select(whole_row(mixed), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*unpacked(columns))

@@ -7,8 +7,9 @@ Places come from cutting the text at the matches: the lengths of gaps and matche
 the array, are the spans' code points.  Nothing is quadratic in the number of matches or the length of a text, and no row
 is moved.
 
-Null texts count as empty: no spans, and ``redact`` leaves them null.  Repeated rows are handled alike; columns of the
-input are kept, and those named like an output column are replaced.
+Null and empty texts have no spans, and ``redact`` leaves them as they are; very long texts are read whole.  Repeated rows are
+handled alike, and an empty table gives no rows.  Columns of the input are kept whatever they are called; ``with_spans`` replaces one that
+has the name asked for, ``redact`` replaces none but the text and its length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import quoted, unpacked, whole_row
+
 THRESHOLD = 0.5
 #: Code points before a span in which context words count.
 CONTEXT_CHARS = 40
@@ -138,28 +141,33 @@ def scored(no: int, kind: Kind):
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and ``spans``: array of (start, kind_no, end, kind, score), sorted; code points, end exclusive."""
+def found_in(df: DataFrame) -> DataFrame:
+    """(row, text), text not null, to (row, spans)."""
     # Each step is a projection of its own, so that no lambda recomputes a match.
-    own = [c for c in docs.columns if c != "spans" and not c.startswith("__")]
     empty = F.array().cast("array<string>")
-    df, named = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("__text")), []
     cut = []
     for k in KINDS:
-        may = F.col("__text").contains(k.hint) if k.hint else F.lit(True)
-        cut += [F.when(may, F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))).otherwise(empty).alias(f"__found_{k.name}")]
-    df = df.select(*own, "__text", *cut)
-    gaps = [F.when(F.size(f"__found_{k.name}") > 0, F.split("__text", k.pattern, -1)).otherwise(empty).alias(f"__gaps_{k.name}") for k in KINDS]
-    df = df.select(*own, *(f"__found_{k.name}" for k in KINDS), *gaps)
-    pieces = [F.arrays_zip(F.slice(f"__gaps_{k.name}", F.lit(1), F.size(f"__found_{k.name}")).alias("gap"), F.col(f"__found_{k.name}").alias("value")).alias(f"__pieces_{k.name}") for k in KINDS]
-    df = df.select(*own, *pieces)
-    known = [F.transform(F.col(f"__pieces_{k.name}"), lambda p: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), digits(p["value"]).alias("number"), (F.length(p["gap"]) + F.length(p["value"])).alias("n"))).alias(f"__known_{k.name}") for k in KINDS]
-    df = df.select(*own, *known)
-    df = df.select(*own, *(f"__known_{k.name}" for k in KINDS), *(prefix_sums(F.transform(f"__known_{k.name}", lambda p: p["n"])).alias(f"__ends_{k.name}") for k in KINDS))
+        may = F.col("text").contains(k.hint) if k.hint else F.lit(True)
+        cut += [F.when(may, F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(empty).alias(f"found_{k.name}")]
+    df = df.select("row", "text", *cut)
+    gaps = [F.when(F.size(f"found_{k.name}") > 0, F.split("text", k.pattern, -1)).otherwise(empty).alias(f"gaps_{k.name}") for k in KINDS]
+    df = df.select("row", *(f"found_{k.name}" for k in KINDS), *gaps)
+    pieces = [F.arrays_zip(F.slice(f"gaps_{k.name}", F.lit(1), F.size(f"found_{k.name}")).alias("gap"), F.col(f"found_{k.name}").alias("value")).alias(f"pieces_{k.name}") for k in KINDS]
+    df = df.select("row", *pieces)
+    known = [F.transform(F.col(f"pieces_{k.name}"), lambda p: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), digits(p["value"]).alias("number"), (F.length(p["gap"]) + F.length(p["value"])).alias("n"))).alias(f"known_{k.name}") for k in KINDS]
+    df = df.select("row", *known)
+    df = df.select("row", *(f"known_{k.name}" for k in KINDS), *(prefix_sums(F.transform(f"known_{k.name}", lambda p: p["n"])).alias(f"ends_{k.name}") for k in KINDS))
+    named = []
     for no, k in enumerate(KINDS):
-        spans = F.zip_with(f"__known_{k.name}", f"__ends_{k.name}", scored(no, k))
+        spans = F.zip_with(f"known_{k.name}", f"ends_{k.name}", scored(no, k))
         named.append(F.filter(spans, lambda s: s["score"] >= THRESHOLD).cast(SPAN))
-    return df.select(*own, F.array_sort(F.concat(*named)).alias("spans"))
+    return df.select("row", F.array_sort(F.concat(*named)).alias("spans"))
+
+
+def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
+    """docs and ``name``: array of (start, kind_no, end, kind, score), sorted; code points, end exclusive."""
+    df = found_in(docs.select(whole_row(docs), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")))
+    return df.select(*unpacked([c for c in docs.columns if c != name]), F.col("spans").alias(name))
 
 
 def listed(spans: Column) -> Column:
@@ -170,16 +178,19 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first.  ``length``,
     where there is such a column, follows the new text."""
-    own, kept = docs.columns, "__spans"
-    df = with_spans(docs, text).select(*own, F.col("spans").alias(kept))
-    before = F.transform(kept, lambda s: s["end"])
+    df = found_in(docs.select(whole_row(docs), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")))
+    df = df.select("row", F.col("row").getField(text).alias("text"), "spans")
+    before = F.transform("spans", lambda s: s["end"])
     # Largest end among earlier spans: a doubling prefix maximum.
     steps = F.when(F.size(before) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(before).cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     most = F.aggregate(steps, before, lambda m, step: F.zip_with(m, F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), step).cast("int")), m), F.lit(1), F.size(m)), lambda a, b: F.greatest(a, b)))
-    df = df.select(*own, kept, most.alias("__most"))
-    df = df.select(*own, "__most", F.zip_with(kept, F.slice(F.concat(F.array(F.lit(0)), "__most"), F.lit(1), F.size(kept)), lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), m.alias("covered"))).alias("__cuts"))
-    parts = F.transform("__cuts", lambda c: F.when((c["start"] >= c["covered"]), F.concat(F.substring(F.col(text), c["covered"] + 1, c["start"] - c["covered"]), F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(F.lit("")))
-    rest = F.substring(F.col(text), F.element_at("__most", -1) + 1, F.length(text))
-    df = df.select(*own, F.when(F.size("__cuts") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text)).alias("__new"), (F.size("__cuts") > 0).alias("__changed"))
-    columns = [F.col("__new").alias(text) if c == text else F.when(F.col("__changed"), F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length else F.col(c) for c in own]
-    return df.select(*columns)
+    df = df.select("row", "text", "spans", most.alias("most"))
+    df = df.select("row", "text", "most", F.zip_with("spans", F.slice(F.concat(F.array(F.lit(0)), "most"), F.lit(1), F.size("spans")), lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), m.alias("covered"))).alias("cuts"))
+    parts = F.transform("cuts", lambda c: F.when((c["start"] >= c["covered"]), F.concat(F.substring(F.col("text"), c["covered"] + 1, c["start"] - c["covered"]), F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(F.lit("")))
+    rest = F.substring(F.col("text"), F.element_at("most", -1) + 1, F.length("text"))
+    df = df.select("row", F.when(F.size("cuts") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text")).alias("text"), (F.size("cuts") > 0).alias("changed"))
+    given = dict(zip(docs.columns, unpacked(docs.columns), strict=True))
+    given[text] = F.col("text").alias(text)
+    if length in given and length != text:
+        given[length] = F.when(F.col("changed"), F.length("text").cast(docs.schema[length].dataType)).otherwise(F.col("row").getField(length)).alias(length)
+    return df.select(*given.values())

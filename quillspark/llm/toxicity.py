@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import tidy, written
+from quillspark.llm.common import quoted, tidy, written
 
 #: Labelled documents of each class that a model learns from, at most.
 PER_CLASS = 6000
@@ -337,7 +337,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, .
 def with_score(spark: SparkSession, docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
     """``columns`` of docs and a score between 0 and 1 called ``name``, which must not be among them."""
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias(name))
+        return docs.select(*map(quoted, columns), F.lit(0.0).alias(name))
     shipped = spark.sparkContext.broadcast(model)
     read = [*columns, *(["text"] if "text" not in columns else [])]
 
@@ -346,4 +346,4 @@ def with_score(spark: SparkSession, docs: DataFrame, model: Model | None, column
             found = [shipped.value.score(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.float64())], names=[*columns, name])
 
-    return docs.select(*read).mapInArrow(tidy(run), docs.select(*columns).schema.add(name, "double"))
+    return docs.select(*map(quoted, read)).mapInArrow(tidy(run), docs.select(*map(quoted, columns)).schema.add(name, "double"))

@@ -385,3 +385,23 @@ def test_langid_backs_off_to_shorter_grams():
     assert scorer.unseen("zzz").tolist() == pytest.approx(want)
     scorer.full = len(scorer.rows)
     assert scorer.total(["known", "zzz", "zz"]).tolist() == pytest.approx((langid.Scorer(model).total(["known", "zzz", "zz"])).tolist())
+
+
+CLASHES = ("spans", "size", "__id", "taken", "component_id", "fp", "root", "row", "text2", "copies", "Target", "__toxicity", "row_key", "a.b", "source_size", "row_no")
+
+
+def test_columns_with_clashing_names_are_kept(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    intact = lambda r: all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES)
+    for stage in (pii.redact, mixing.mixture, lambda d: corpus_pipeline.drop_near_duplicates(spark, d, ""), lambda d: corpus_pipeline.drop_toxic(spark, d, "/root/testdata/sf0.001")):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) >= 8 and all(map(intact, rows))
+    spans = pii.with_spans(docs).collect()
+    assert len(spans) == 13 and all(isinstance(r["spans"], list) and r["size"].startswith("size-") for r in spans)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 13 and all(r["taken"] == r["copies"] * r["size"] and r["__id"].startswith("__id-") for r in mixed)
+    assert sum(r["copies"] for r in mixed) == mixing.mixture(docs).count()
