@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each near-duplicate group stays, personal data gives way to placeholders, sources are
 mixed to their targets, and what is left is encoded.  Counts as part of the llm subpackage.
+
+Null and empty texts pass the first stage, are one group in the second, and go on as empty texts.  Very long texts are read whole.
+Repeated rows are one group.  Empty tables stay empty.  All stages but the last keep the columns of their input, whatever their
+names; the last returns doc_id, n_tokens and the two digests.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, pii, simhash, toxicity
-from quillspark.llm.common import crc_mod, table, written
+from quillspark.llm.common import crc_mod, fresh, quoted, table, whole_row, written
 from quillspark.llm.queries import BPE_RANKS
 
 
@@ -19,18 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labelled ones among them, does not reject."""
     texts, stands_for = toxicity.sample(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     columns = docs.columns
-    scored = toxicity.with_score(spark, docs, toxicity.fit(spark, texts, stands_for), columns, "__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*columns)
+    name = fresh("toxicity", columns)
+    scored = toxicity.with_score(spark, docs, toxicity.fit(spark, texts, stands_for), columns, name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(*map(quoted, columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows of the group that repeat its id, one.  Groups may have ids
-    in common, null among them."""
+    in common, null among them.  Rows are told apart by the SHA-256 of their whole content as JSON."""
     columns = docs.columns
-    keyed = docs.withColumn("__row_key", F.xxhash64(*columns))
-    found = simhash.near_duplicates(spark, keyed, ["doc_id", "__row_key"])
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("__row_key").alias("__row_key"))
-    return keyed.join(first.select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*columns)
+    key = fresh("row_key", columns)
+    keyed = docs.withColumn(key, F.sha2(F.to_json(whole_row(docs)).cast("binary"), 256))
+    found = simhash.near_duplicates(spark, keyed, ["doc_id", key])
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(key).alias(key))
+    return keyed.join(first.select(key), key, "left_semi").dropDuplicates([key]).select(*map(quoted, columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.expand(mixing.mix(docs), docs.columns)
+    return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
