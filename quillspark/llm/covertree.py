@@ -6,15 +6,16 @@ traversed together: a pair of nodes further apart than the sum of their covering
 whole is linked whole, and other pairs go down a level.  Where halving the radius no longer groups vectors, as
 in high dimension, a node stays a leaf and leaf pairs are compared by one matrix product in double precision.
 
-Over the cluster, the top level is a set of centres taken from a bounded sample (``SAMPLE`` vectors, at most ``CELLS`` centres);
-every vector is indexed under its nearest centre, its home.  A vector visits another cell only if the cell's covering radius
+Over the cluster, the top level is a set of centres, one for ``TILE`` vectors, taken from a bounded sample (``SAMPLE`` vectors, at most
+``CELLS`` centres, which dimensions share by their numbers of vectors); every vector is indexed under its nearest centre, its home.  A vector visits another cell only if the cell's covering radius
 and the distances to both centres leave room for a link, and each pair of cells meets once.  Cells with more than ``TILE`` vectors are
 dealt into tiles; each task holds the tree of one tile and takes visitors in batches.  All pairs are found exactly; a task returns
 counts and a spanning forest of its links, at most one edge for each vector, never the pairs themselves.
 
 Equal vectors collapse before anything is compared.  Vectors that are null, zero, or hold null or non-finite components link with
 nothing: no links, a component of their own.  Vectors link only with those of the same dimension.  Repeated rows count as
-vectors of their own; a null vec_id takes part but names no component unless it is alone.
+vectors of their own; a null vec_id takes part but names no component unless it is alone.  Empty tables give no rows.  Other columns
+of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, written
+from quillspark.llm.common import HOT, join_hot, partitions, written
 from quillspark.llm.components import components
 
-SAMPLE, CELLS, TILE = 4096, 1024, 4096
+SAMPLE, CELLS, TILE = 16384, 4096, 4096
 LEAF = 64
 #: Rows of one side of a matrix product.
 BATCH = 2048
@@ -175,12 +176,15 @@ def classes_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
 def search(spark: SparkSession, classes: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(u, v, n): for v null, n rows are linked to class u; else an edge of a spanning forest."""
     eps, n = math.sqrt(2.0 - 2.0 * threshold), partitions(spark)
-    total = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()
+    everything = classes.count()
+    share = F.least(F.ceil(F.col("n") / tile), F.floor(F.col("n") * CELLS / max(1, everything)))
+    # A dimension whose share is one cell needs no centre; at most CELLS / 2 others come to the driver.
+    total = classes.groupBy("dim").agg(F.count("*").alias("n")).select("dim", share.cast("int").alias("cells")).where("cells > 1").collect()
     centres = {}
-    for r in total:  # dimensions beyond the first 64 have no centres: each is one cell
-        near = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("embedding").toPandas()
-        centres[r["dim"]] = top_level(np.array(near["embedding"].tolist()), max(1, min(CELLS, math.ceil(r["n"] / tile))))
-    shipped = spark.sparkContext.broadcast(centres)  # at most 64 * CELLS vectors
+    for r in total:
+        near = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE * r["cells"] // CELLS + 64).select("embedding").toPandas()
+        centres[r["dim"]] = top_level(np.array(near["embedding"].tolist()), r["cells"])
+    shipped = spark.sparkContext.broadcast(centres)  # at most CELLS vectors
 
     def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
         dims = batch.column("dim").to_numpy()
@@ -295,8 +299,16 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("linked"))
     roots = components(spark, found.where("v IS NOT NULL").select("u", "v"), "cover")
     grouped = classes.select("cid", "key", "embedding", "n", "least").join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    answer = grouped.join(named, "root").select(F.col("key").alias("of"), F.col("embedding").alias("vector"), "component", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"))
-    joined = rows.join(answer, (F.col("key") == F.col("of")) & (F.col("embedding") == F.col("vector")) & F.col("usable"), "left")
-    out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    grouped = written(spark, grouped, "cover-roots")
+    size = grouped.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    named = grouped.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("vectors"))
+    large = named.where(F.col("vectors") > size["distinct"] / HOT).select("root")  # fewer than HOT
+    answer = join_hot(grouped, named.select("root", "component"), "root", large)
+    # Vectors whose hashes agree, if there are any, are told apart by comparing them; a hash is hot if its rows are many.
+    answer = answer.groupBy("key").agg(F.collect_list(F.struct("embedding", "component", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"))).alias("same"), F.sum("n").alias("rows"))
+    answer = written(spark, answer, "cover-answers")
+    usable_rows = join_hot(rows.where("usable"), answer.select("key", "same"), "key", answer.where(F.col("rows") > size["rows"] / HOT).select("key"))
+    own = F.filter("same", lambda x: x["embedding"] == F.col("embedding"))[0]
+    linked = usable_rows.select("vec_id", own["links"].cast("long").alias("n_links"), F.coalesce(own["component"], "vec_id").alias("component_id"))
+    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

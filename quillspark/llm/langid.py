@@ -8,7 +8,8 @@ The model is fitted to at most ``PER_LANGUAGE`` documents of each language, chos
 counted over whole texts.  Scoring reads every word of every text, moves no row, and uses nothing but the text.
 
 Texts that are null or have no letter get ``und`` and score 0, as do all texts if nothing was learned.  Rows without a language are not learned
-from.  Repeated rows get equal answers.
+from.  Texts of any length are read whole.  Repeated rows get equal answers; empty tables give no rows.  Of the input's columns only
+those asked for and the text are read; lang_pred and score, which are added, must not be among them.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     count = docs.groupBy("lang").agg(F.count("*").alias("n"))
     order = F.xxhash64("id", F.lit("langid"))
-    likely = docs.select("lang", "id", order.alias("order")).join(count, "lang")  # a row for each language
+    # A row for each language: the model itself holds a column for each.
+    likely = docs.select("lang", "id", order.alias("order")).join(F.broadcast(count), "lang")
     likely = likely.where(F.pmod("order", F.lit(1_000_000)) < 1_300_000.0 * per_language / F.col("n"))
     chosen = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("rank") <= per_language)
     # At most per_language rows a language, of an id each.

@@ -3,31 +3,36 @@
 Fingerprints: XXH64 of all word 4-grams, a bit is set where more than half of the hashes have it.  Fingerprints that differ in at
 most ``radius`` bits are linked; documents are grouped by reachability over these links.
 
-Index: the 64 bits are cut into ``radius + 1`` runs; two fingerprints within the radius agree on at least one run.  For each run a
-copy of the distinct fingerprints is rotated so that the run leads, which makes the run the top node of a hierarchy, and
-sorted by the rank of its Gray code.  Under a top node, consecutive fingerprints share a masked bit pattern: the bits all of them
-have alike.  The pattern is stored in the upper node, halves of the node refine it, and two nodes are compared by the
+Index: the 64 bits are cut into ``radius + m`` runs; two fingerprints within the radius agree on at least m of them.  For each choice of m
+runs a copy of the distinct fingerprints is rearranged so that these runs lead, which makes them the top node of a hierarchy,
+and sorted by the rank of its Gray code.  Under a top node, consecutive fingerprints share a masked bit pattern: the bits all of
+them have alike.  The pattern is stored in the upper node, halves of the node refine it, and two nodes are compared by the
 differences that their patterns already show: a pair of nodes with more than ``radius`` is dropped whole.  Leaves are
 compared bit by bit.
 
-Copies collapse into one fingerprint before anything is compared.  A top node with many fingerprints is dealt by hash into tiles
-of about ``TILE``; each pair of tiles is a task of its own and builds its own hierarchies.  A task returns a spanning
-forest of the links it finds, at most one edge for each fingerprint, never all pairs.
+m grows with the number of distinct fingerprints, so that an even top node never outgrows a tile and the copies of a fingerprint are 5 up to
+33 million, 15 up to 8 thousand million, and 35 beyond: work grows with the input, not with its square.  A top node that is crowded
+all the same is dealt by hash into tiles of about ``TILE``; each pair of its tiles is a task of its own and builds its own
+hierarchies.  Copies collapse into one fingerprint before anything is compared.  A task returns a spanning forest of the links
+it finds, at most one edge for each fingerprint, never all pairs.
 
-Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows stay.  Null ids take part, but
-never name a component unless all of its ids are null.
+Null and empty texts have fingerprint zero and are linked like any other.  Texts of any length are read whole; a task holds the hashes
+of one text at a time.  Repeated rows stay.  Null ids take part, but never name a component unless all of its ids are null.  Empty
+tables give no rows.  Of the input's columns only those asked for and the text are read; fp, root and component_id, which are
+added, must not be among them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, partitions, tidy, written
+from quillspark.llm.common import HOT, ascii_lower, join_hot, partitions, tidy, written
 from quillspark.llm.components import components
 
 #: Fingerprints of one top node that one task holds.
@@ -82,17 +87,31 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def rotate(values: np.ndarray, left: int) -> np.ndarray:
-    return values if left == 0 else (values << np.uint64(left)) | (values >> np.uint64(64 - left))
-
-
-def runs(radius: int) -> list[tuple[int, int]]:
-    """(first bit from the top, length) of radius + 1 runs that cover the 64 bits."""
-    n = radius + 1
+def runs(n: int) -> list[tuple[int, int]]:
+    """(first bit from the top, length) of n runs that cover the 64 bits."""
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def trees(radius: int, m: int) -> list[list[tuple[int, int]]]:
+    """For each choice of m of radius + m runs: all runs, the chosen ones first."""
+    cuts = runs(radius + m)
+    return [[*chosen, *(c for c in cuts if c not in chosen)] for chosen in combinations(cuts, m)]
+
+
+def leading(radius: int, distinct: int, tile: int) -> int:
+    """How many runs lead: the fewest whose top nodes hold no more than a tile if fingerprints are spread evenly."""
+    return next((m for m in (1, 2, 3) if distinct <= tile << (64 * m // (radius + m))), 3)
+
+
+def arrange(values: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The runs of each value in another order, the first one leading."""
+    out = np.zeros_like(values)
+    for at, n in order:
+        out = (out << np.uint64(n)) | ((values >> np.uint64(64 - at - n)) & np.uint64((1 << n) - 1))
+    return out
+
+
 class Forest:
     """Union-find; ``join`` tells whether two sets became one."""
 
@@ -158,11 +177,18 @@ def within(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[n
         yield x[k, p, 0], y[k, 0, q]
 
 
-def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int = TILE, lead: int = 1) -> DataFrame:
     """distinct (fp) to a spanning forest of links for every task: (u, v) with fingerprints that differ in at most ``radius`` bits."""
-    cuts = runs(radius)
-    # The top node of each of the radius + 1 hierarchies: (hierarchy, leading run).
-    tops = F.explode(F.array(*[F.struct(F.lit(k).alias("tree"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - n).alias("top")) for k, (a, n) in enumerate(cuts)]))
+    orders = trees(radius, lead)
+
+    def top(order: list[tuple[int, int]]):
+        value = F.lit(0).cast("long")
+        for a, n in order[:lead]:
+            value = F.shiftleft(value, n).bitwiseOR(F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - n))
+        return value
+
+    # The top node of each hierarchy: (hierarchy, leading runs).
+    tops = F.explode(F.array(*[F.struct(F.lit(k).alias("tree"), top(order).alias("top")) for k, order in enumerate(orders)]))
     spread = distinct.select("fp", tops.alias("t")).select("fp", "t.tree", "t.top")
     sizes = spread.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1")
     # One tile for all but crowded nodes.
@@ -175,9 +201,8 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int =
     n = partitions(spark)
 
     def search(group: list[np.ndarray], tree: int, same: bool) -> Iterator[tuple[int, int]]:
-        at = cuts[tree][0]
-        values = [x[np.argsort(gray_rank(rotate(x, at)))] for x in group]
-        rotated = [rotate(x, at) for x in values]
+        values = [x[np.argsort(gray_rank(arrange(x, orders[tree])))] for x in group]
+        rotated = [arrange(x, orders[tree]) for x in values]
         nodes = values[0] if same else np.concatenate(values)
         forest, shift = Forest(len(nodes)), 0 if same else len(values[0])
         for i, j in within(rotated[0], None if same else rotated[1], radius):
@@ -217,13 +242,18 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int =
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "u long, v long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, columns: list[str], radius: int = 4, shingle: int = 4, tile: int = TILE) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, columns: list[str], radius: int = 4, shingle: int = 4, tile: int = TILE, lead: int | None = None) -> DataFrame:
     """``columns`` (doc_id among them), fp, root and component_id.  root is the smallest fingerprint that is reachable over links and tells
     components apart; component_id is the smallest doc_id of the component, which components may have in common."""
     prints = written(spark, fingerprints(docs, columns, shingle), "simhash")
-    classes = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(spark, links(spark, classes.select("fp"), radius, tile), "simhash")
+    classes = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    size = classes.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    found = links(spark, classes.select("fp"), radius, tile, lead or leading(radius, size["distinct"], tile))
+    roots = components(spark, found, "simhash")
     grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = grouped.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
-    return prints.join(answer, "fp")
+    grouped = written(spark, grouped, "simhash-roots")
+    # Partly aggregated where they lie: a large component is no single task.
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    large = named.where(F.col("prints") > size["distinct"] / HOT).select("root")  # fewer than HOT
+    answer = join_hot(grouped.select("fp", "root"), named.select("root", "component_id"), "root", large)
+    return join_hot(prints, answer, "fp", classes.where(F.col("n") > size["rows"] / HOT).select("fp"))

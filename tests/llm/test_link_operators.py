@@ -28,8 +28,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("tile", [3, 4096])
-def test_simhash_equals_brute_force(spark, data, odd, none, tile):
+def test_simhash_leading_runs_hold_what_agrees():
+    rng = np.random.default_rng(4)
+    for m, n in ((1, 5), (2, 15), (3, 35)):
+        orders = simhash.trees(4, m)
+        assert len(orders) == n and all(sum(k for _, k in o) == 64 for o in orders)
+        bits = [sum(k for _, k in o[:m]) for o in orders]
+        for _ in range(50):
+            x = rng.integers(0, 2**63, 1, dtype=np.uint64)
+            y = x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 4, replace=False).astype(np.uint64))
+            assert any(simhash.arrange(x, o)[0] >> np.uint64(64 - b) == simhash.arrange(y, o)[0] >> np.uint64(64 - b) for o, b in zip(orders, bits))
+    assert [simhash.leading(4, n, 4096) for n in (0, 10**7, 4 * 10**7, 8 * 10**9, 10**11, 10**15)] == [1, 1, 2, 2, 3, 3]
+
+
+@pytest.mark.parametrize("tile, lead", [(3, None), (4096, None), (4096, 2), (4096, 3)])
+def test_simhash_equals_brute_force(spark, data, odd, none, tile, lead):
     for docs in (odd, spark.read.parquet(f"{data}/documents.parquet")):
         rows = docs.select("doc_id", "text").collect()
         fps = np.array([brute_fingerprint(r["text"]) for r in rows], np.uint64)
@@ -38,7 +51,7 @@ def test_simhash_equals_brute_force(spark, data, odd, none, tile):
         for r, k in zip(rows, label):
             least[k] = min([x for x in (least.get(k), r["doc_id"]) if x is not None], default=None)
         want = Counter((r["doc_id"], int(f), least[k]) for r, f, k in zip(rows, fps, label))
-        got = simhash.near_duplicates(spark, docs, ["doc_id"], tile=tile).collect()
+        got = simhash.near_duplicates(spark, docs, ["doc_id"], tile=tile, lead=lead).collect()
         assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(spark, none, ["doc_id"]).count() == 0
 
@@ -48,9 +61,9 @@ def test_simhash_index_finds_every_pair():
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 5), replace=False).astype(np.uint64)) if i % 7 else np.uint64(0) for i in range(600)]
     values = np.unique(rng.choice(centres, 600) ^ np.array(flips, np.uint64))
-    for at, _ in simhash.runs(4):
-        x = values[np.argsort(simhash.gray_rank(simhash.rotate(values, at)))]
-        r = simhash.rotate(x, at)
+    for order in [*simhash.trees(4, 1), *simhash.trees(4, 2)[::4], *simhash.trees(4, 3)[::9]]:
+        x = values[np.argsort(simhash.gray_rank(simhash.arrange(values, order)))]
+        r = simhash.arrange(x, order)
         found = {(int(i), int(j)) for a, b in simhash.within(r, None, 4) for i, j in zip(a, b)}
         assert found == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 4}
         half = len(r) // 3
