@@ -6,8 +6,9 @@ parts by hash, so that one task sees every occurrence of a token once per block;
 back to the blocks, where documents are reassembled by position.  The position lists are written once, bucketed by
 block, and do not move again.
 
-Very frequent tokens cost one entry a block, never one a document.  Memory is bounded by ``BLOCK_CHARS`` or the longest
-single text in a block, and by the distinct tokens of one part.
+Very frequent tokens cost one entry a block, never one a document.  The number of parts follows from the code points of the table, at most
+``PART_CHARS`` for each part on average, and a task handles its parts one after another: memory is bounded by ``PART_CHARS``
+and ``BLOCK_CHARS``, or by the longest single text, whatever the size of the corpus and the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from quillspark.llm.common import partitions, tidy, written_by
 
 #: Code points of text after which a block ends.
 BLOCK_CHARS = 24_000_000
+#: Code points of the table for each part of the distinct tokens.
+PART_CHARS = 64_000_000
 
 SCHEMA = "block long, part int, start int, ids array<long>, flags array<int>, lens array<int>, places binary, counts binary, data binary"
 ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
@@ -106,23 +109,25 @@ def cut(docs: DataFrame, tokenise: Callable[[], Callable[[str], list[str]]], par
     return docs.mapInArrow(tidy(run), SCHEMA)
 
 
-def cut_and_write(spark: SparkSession, docs: DataFrame, tokenise, label: str, counted: bool, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, int]:
-    """The table of blocks, that of their distinct tokens, and the number of parts."""
-    parts = partitions(spark)
-    whole = written_by(spark, cut(docs, tokenise, parts, counted, block_chars), label, "block", parts)
-    return whole.where("part < 0").select("block", "ids", "flags", "lens", "places", "data"), whole.where("part >= 0").select("block", "part", "start", "counts", "data"), parts
+def cut_and_write(spark: SparkSession, docs: DataFrame, tokenise, label: str, counted: bool, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> tuple[DataFrame, DataFrame, int]:
+    """The table of blocks, that of their distinct tokens, and the number of tasks to deal these to."""
+    tasks = partitions(spark)
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    parts = tasks * max(1, -(-chars // (tasks * part_chars)))
+    whole = written_by(spark, cut(docs, tokenise, parts, counted, block_chars), label, "block", tasks)
+    return whole.where("part < 0").select("block", "ids", "flags", "lens", "places", "data"), whole.where("part >= 0").select("block", "part", "start", "counts", "data"), tasks
 
 
-def dealt(words: DataFrame, parts: int) -> DataFrame:
-    """The tokens of each part in a task of its own."""
-    return words.repartitionById(parts, "part").sortWithinPartitions("part", "block")
+def dealt(words: DataFrame, tasks: int) -> DataFrame:
+    """The tokens of each part together, several parts a task, one after another."""
+    return words.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "block")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one part after another."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             if held and held[0]["part"] != row["part"]:
                 yield held
                 held = []

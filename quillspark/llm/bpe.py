@@ -4,8 +4,12 @@ Pre-tokens of every text are dealt by hash; each distinct one is encoded once, i
 it stands, and texts are reassembled by position.  Decoding looks ids up in the token-byte table, whose size is fixed
 by the vocabulary.
 
-Null texts count as empty; empty texts have no ids.  Repeated rows and ids that are null are kept as they are.  Other columns of
-the input are not read.
+The shuffle moves each distinct pre-token of a block once with its places packed, not one row for each pre-token: a row for
+each of them would move several times the input (README).  The token-byte table has a fixed size and is joined in the task that
+holds the ids, since a shuffle by id would put a third of all tokens into the task of the commonest one.
+
+Null texts count as empty; empty texts have no ids.  Texts of any length are read whole.  Repeated rows and ids that are null are
+kept as they are.  Empty tables give no rows.  Other columns of the input are not read.
 """
 
 from __future__ import annotations

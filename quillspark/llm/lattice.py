@@ -11,7 +11,9 @@ frequency after an absolute discount D = n1 / (n1 + 2 n2), and the discounted ma
 that the probabilities of all words and the end sum to 1.
 
 Null and empty texts hold only the end.  Words never cross white space (space and ASCII 9 to 13), A-Z are lower-cased.
-Repeated rows each count; a null id belongs to the training side as crc32 of the empty text does.
+Repeated rows each count; a null id belongs to the training side as crc32 of the empty text does.  Texts and single words may be of any
+length: a word costs one number a character.  Empty tables give no rows; without training documents only the pieces' existing
+weights are left.  Of the input's columns only doc_id, text and training are read.
 """
 
 from __future__ import annotations
@@ -68,27 +70,24 @@ def refit(prior: Vocabulary, expected: dict[str, float], byte: dict[int, float])
     return Vocabulary({p: lift(w, expected.get(p, 0.0)) for p, w in prior.pieces.items()}, tuple(lift(w, byte.get(i, 0.0)) for i, w in enumerate(prior.byte)), prior.longest)
 
 
-def edges(word: str, v: Vocabulary) -> list[list[tuple[int, float, str]]]:
-    """For each end position the pieces that end there: (start, log weight, piece; empty for fallback bytes)."""
-    n, get, found = len(word), v.pieces.get, []
-    for j in range(1, n + 1):
-        here = []
-        for i in range(max(0, j - v.longest), j):
-            piece = word[i:j]
-            weight = get(piece)
-            if weight is not None:
-                here.append((i, weight, piece))
-            elif j - i == 1:
-                here.append((i, sum(v.byte[b] for b in piece.encode("utf-8", "surrogatepass")), ""))
-        found.append(here)
-    return found
-
-
-def forward(lattice: list[list[tuple[int, float, str]]]) -> list[float]:
-    """Log of the summed probability of all ways to reach each position."""
+def ending(word: str, j: int, v: Vocabulary) -> list[tuple[int, float, str]]:
+    """The pieces that end at a position: (start, log weight, piece; empty for fallback bytes)."""
+    get, here = v.pieces.get, []
+    for i in range(max(0, j - v.longest), j):
+        piece = word[i:j]
+        weight = get(piece)
+        if weight is not None:
+            here.append((i, weight, piece))
+        elif j - i == 1:
+            here.append((i, sum(v.byte[b] for b in piece.encode("utf-8", "surrogatepass")), ""))
+    return here
+
+
+def forward(word: str, v: Vocabulary) -> list[float]:
+    """Log of the summed probability of all ways to reach each position: one number a character, however long the word."""
     exp, log, alpha = math.exp, math.log, [0.0]
-    for here in lattice:
-        ways = [alpha[i] + w for i, w, _ in here]
+    for j in range(1, len(word) + 1):
+        ways = [alpha[i] + w for i, w, _ in ending(word, j, v)]
         if len(ways) == 1:
             alpha.append(ways[0])
         else:
@@ -99,7 +98,7 @@ def forward(lattice: list[list[tuple[int, float, str]]]) -> list[float]:
 
 def log_probability(word: str, v: Vocabulary) -> float:
     """Natural log of the marginal probability of a word over all its cuts into pieces."""
-    return forward(edges(MARK + word, v))[-1]
+    return forward(MARK + word, v)[-1]
 
 
 def log_add(a: float, b: float) -> float:
@@ -131,22 +130,21 @@ class Spans:
 
 def expect(word: str, times: float, v: Vocabulary, pieces: dict, byte: Counter) -> None:
     """Add the expected piece counts of ``times`` occurrences of a word."""
-    lattice = edges(MARK + word, v)
-    alpha = forward(lattice)
-    n, exp = len(lattice), math.exp
+    word = MARK + word
+    alpha, n, exp = forward(word, v), len(word), math.exp
     # share[j]: posterior probability that a cut lies at j, passed backwards along the pieces that end there.
     share = [0.0] * n + [times]
     for j in range(n, 0, -1):
         if share[j] <= 1e-12:
             continue
         base = alpha[j]
-        for i, weight, piece in lattice[j - 1]:
+        for i, weight, piece in ending(word, j, v):
             part = share[j] * exp(alpha[i] + weight - base)
             share[i] += part
             if piece:
                 pieces[piece] = pieces.get(piece, 0.0) + part
             else:
-                for b in (MARK + word)[i:j].encode("utf-8", "surrogatepass"):
+                for b in word[i:j].encode("utf-8", "surrogatepass"):
                     byte[b] += part
 
 

@@ -2,15 +2,17 @@
 
 All rolling word 2-gram hashes of the texts are joined with the positions at which templates hold them.  A hit votes for its
 diagonal: word position in the text less position in the template.  Votes are counted for each (text, template,
-diagonal); neighbouring diagonals, which a word more or less in the text sets apart, are merged; a merged diagonal is verified
-by the share of template positions it covers, and by the words that tell its template from others, each of which must stand in
-a covered 2-gram.  The short base phrases must be covered whole on a single diagonal, which means that its words stand there
-consecutively.
+diagonal); neighbouring diagonals, which a word more or less in the text sets apart, are merged, at most ``GAP`` of them; a merged
+diagonal is verified by the share of template positions it covers, and by the words that tell its template from others, each of which
+must stand in a covered 2-gram.  Verified ones that overlap are one span, that of the best cover.  As diagonals of one span are
+no more than ``GAP`` apart, its words lie together: scattered 2-grams of a long text never add up to a notice.  The short base
+phrases must be covered whole on a single diagonal, which means that their words stand there consecutively.
 
 The templates are a fixed list, so their side of the join is broadcast.  Only hits are moved, after they are counted within tasks.
 
-Null texts count as empty.  Rows repeated with id and text get the same answer each; ids and texts are told apart by id and the
-text's hash.  Columns of the input other than doc_id and text are not read.
+Null texts count as empty; empty texts have no words and no labels.  Texts of any length are read whole.  Rows repeated with id and
+text get the same answer each; ids and texts are told apart by id and the text's hash.  Empty tables give no rows.  Columns of the
+input other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from quillspark.llm.common import ascii_lower
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Share of a template's 2-grams that a merged diagonal must cover.
 COVER = 0.7
-#: Diagonals at most so far apart are merged.
-GAP = 2
+#: Diagonals at most so far apart are merged: words that a notice may have more or less than its template.
+GAP = 4
 
 # Base phrases with their labels.
 BASE = (
@@ -144,14 +146,23 @@ def scan(spark: SparkSession, docs: DataFrame, base=BASE, notices=NOTICES) -> tu
     hits = grams_of(keyed).join(F.broadcast(templates(spark, base, notices)), "hash")
     keys = ["doc_id", "th", "template", "is_base", "label", "places", "needs"]
     diagonals = hits.groupBy(*keys, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("covered"), F.bit_or("own").alias("own"), F.min("at").alias("low"), F.max("at").alias("high"))
-    # One path for both kinds of template: the diagonals of a base phrase are never merged.
+    # What a diagonal covers together with those just above it; those of a base phrase stand alone.
+    near = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal").rangeBetween(0, GAP)
+    merged = diagonals.select(*keys, "diagonal", *[F.when(F.col("is_base"), own).otherwise(wide).alias(name) for name, own, wide in (
+        ("covered", F.col("covered"), F.array_distinct(F.flatten(F.collect_list("covered").over(near)))),
+        ("own", F.col("own"), F.bit_or("own").over(near)),
+        ("first_word", F.col("low"), F.min("low").over(near)),
+        ("last_word", F.col("high") + 1, F.max("high").over(near) + 1),
+    )])
+    cover = F.size("covered") / F.col("places")
+    verified = merged.where(cover >= F.when(F.col("is_base"), 1.0).otherwise(COVER)).where("own = needs").withColumn("cover", cover)
+    # Spans of a template that begin within the reach of the one before are the same notice.
     order = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("is_base"), 0).otherwise(GAP)
-    merged = diagonals.withColumn("new", apart.cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(order))
-    merged = merged.groupBy(*keys, "island").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.bit_or("own").alias("own"), F.min("low").alias("first_word"), (F.max("high") + 1).alias("last_word"))
-    cover = F.size("covered") / F.col("places")
-    verified = merged.where(cover >= F.when(F.col("is_base"), 1.0).otherwise(COVER)).where("own = needs")
-    return texts, verified.select("doc_id", "th", "template", "is_base", "label", "first_word", "last_word", cover.alias("cover"))
+    spans = verified.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order))
+    best = F.max_by(F.struct("first_word", "last_word", "cover"), F.struct("cover", -F.col("diagonal"))).alias("best")
+    spans = spans.groupBy("doc_id", "th", "template", "is_base", "label", "span").agg(best)
+    return texts, spans.select("doc_id", "th", "template", "is_base", "label", "best.first_word", "best.last_word", "best.cover")
 
 
 def summary(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -160,6 +160,68 @@ def test_lattice_sums_over_all_segmentations():
         assert math.isclose(found.get(piece, 0.0), 2 * sum(x * w.count(piece) for w, x in weight.items()) / sum(weight.values()), abs_tol=1e-9)
 
 
+def brute_lattice(rows, v, pieces):
+    """Score of each (text, training): every cut of every word enumerated, the fit of the weights and the spanning edges by hand."""
+    def cuts(word):
+        if not word:
+            return [()]
+        return [(word[:k], *rest) for k in range(1, min(len(word), v.longest) + 1) if word[:k] in v.pieces or k == 1 for rest in cuts(word[k:])]
+
+    def weight(cut, piece, byte):
+        return math.prod(piece[p] if p in piece else math.prod(byte[b] for b in p.encode()) for p in cut)
+
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for t, _ in rows]
+    seen = Counter(t for own, (_, training) in zip(tokens, rows) if training for t in own)
+    n, distinct, once, twice = sum(seen.values()), len(seen), sum(c == 1 for w, c in seen.items() if w), sum(c == 2 for w, c in seen.items() if w)
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
+    piece, byte = {p: math.exp(w) for p, w in v.pieces.items()}, [math.exp(w) for w in v.byte]
+    expected, expected_byte = Counter(), Counter()
+    for word in filter(None, seen):
+        ways = {c: weight(c, piece, byte) for c in cuts("\u2581" + word)}
+        for c, x in ways.items():
+            for p in c:
+                if p in piece:
+                    expected[p] += x / sum(ways.values())
+                else:
+                    for b in p.encode():
+                        expected_byte[b] += x / sum(ways.values())
+    total = sum(expected.values()) + sum(expected_byte.values()) + lattice.PRIOR_WEIGHT
+    piece = {p: (expected[p] + lattice.PRIOR_WEIGHT * x) / total for p, x in piece.items()}
+    byte = [(expected_byte[i] + lattice.PRIOR_WEIGHT * x) / total for i, x in enumerate(byte)]
+
+    def chance(token):
+        if token is None:
+            return (seen[None] - discount) / n
+        return max(0.0, seen[token] - discount) / n + discount * distinct / n * sum(weight(c, piece, byte) for c in cuts("\u2581" + token))
+
+    return [sum(math.log10(chance(t)) for t in own) for own in tokens]
+
+
+def test_lattice_score_equals_brute_force(spark):
+    pieces = [("\u2581", -1.0), ("\u2581a", -2.0), ("a", -3.0), ("b", -4.0), ("ab", -5.0), ("\u2581ab", -6.0), ("ba", -7.0), ("c", -8.0)]
+    texts = ["ab aab c", "Ab ab\tbac", "", None, "abba q", "c c c", "ba ba", "é ab", "cab unseen", "aab abab zz"]
+    rows = [(t, i % 4 != 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, training boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lattice.score(spark, df, pieces, 20).collect()}
+    want = brute_lattice(rows, lattice.from_scores(pieces), pieces)
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-9)
+
+
+def test_lattice_takes_one_very_long_word():
+    v = lattice.from_scores([("\u2581", -1.0), ("x", -2.0), ("xx", -3.0)])
+    assert math.isfinite(lattice.log_probability("x" * 1_000_000, v))
+
+
+def test_parts_follow_the_size_of_the_table(spark):
+    from quillspark.llm import blocks
+
+    docs = spark.createDataFrame([(i, f"w{i} x{i % 7} shared", 0) for i in range(300)], "doc_id long, text string, flag int").repartition(4)
+    _, words, tasks = blocks.cut_and_write(spark, docs, lambda: str.split, "t", False, 400, 10)
+    assert words.agg(F.max("part")).first()[0] >= tasks
+    together = blocks.dealt(words, tasks).select("part", F.spark_partition_id().alias("task")).distinct()
+    assert together.groupBy("part").count().where("count > 1").count() == 0 and together.groupBy("task").count().agg(F.max("count")).first()[0] > 1
+
+
 def test_digest_edits_and_neighbours(spark, data, odd, none):
     for docs in (spark.read.parquet(f"{data}/documents.parquet"), odd.where("doc_id <> 4 OR doc_id IS NULL")):
         rows = sorted(((r["doc_id"] if r["doc_id"] is not None else digest.LAST), r["text"] or "") for r in docs.select("doc_id", "text").collect())
@@ -206,6 +268,15 @@ def test_licenses_merge_diagonals(spark):
     assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["mit", "mit", "", ""] and got[1]["score"] == 1.0 > got[2]["score"] > 0.7
 
 
+def test_licenses_do_not_add_up_scattered_words(spark):
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    pairs = [" ".join(notice[i : i + 2]) for i in range(0, len(notice), 2)]
+    scattered = [f"{'x ' * (2 + k)}".join(pairs) for k in range(3)] + [" ".join(f"{p} {' '.join('y' * (1 + i % 3))}" for i, p in enumerate(pairs * 40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*scattered, "a b " * 500 + " ".join(notice) + " c d" * 500 + " " + " ".join(notice)])], "doc_id long, text string")
+    texts, spans = licenses.scan(spark, df)
+    assert [(r["doc_id"], r["label"], r["first_word"], r["last_word"], r["cover"]) for r in spans.orderBy("first_word").collect()] == [(4, "mit", 1000, 1000 + len(notice) - 1, 1.0), (4, "mit", 2000 + len(notice), 2000 + 2 * len(notice) - 1, 1.0)]
+
+
 def test_licenses_need_the_words_that_tell_notices_apart(spark):
     cc = {"Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "Licensed under CC BY-ND 4.0": "cc-by,cc-by-nd", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc,cc-by-nc-nd"}
     others = {"Licensed under the Apache License, Version 2.0": "apache-2.0", "Licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache License, Version 1.1": "", "Licensed under the Mozilla License, Version 2.0": "", "Distributed under the MIT license": "mit"}
