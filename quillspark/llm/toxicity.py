@@ -47,8 +47,8 @@ from quillspark.llm.common import quoted, tidy, written
 
 #: Labelled documents of each class that a model learns from, at most.
 PER_CLASS = 6000
-#: Documents (of beginnings: words) that hold an expression before it has an entry of its own.
-LEAST = {"pair": 4, "word": 2, "stem": 2}
+#: Documents that hold an expression before it has an entry of its own.
+LEAST = {"pair": 4, "word": 4, "stem": 4}
 #: Log ratio by which an entry must differ from its backoff.
 PRUNE = 0.25
 #: Log-likelihood (nats) that an entry must add to its own counts.
@@ -281,7 +281,7 @@ def learn(counts: DataFrame, least_gain: float = GAIN, prune: float = PRUNE) ->
     if of["word"] is None:
         return None
     of = {k: d or of["word"] for k, d in of.items()}
-    enough = {k: c.where(F.col("toxic") + F.col("plain") >= LEAST[k]).orderBy(*c.columns[:-2]).toPandas() for k, c in orders.items()}
+    enough = {k: c.where(F.col("toxic") + F.col("plain") >= LEAST[k]).toPandas().sort_values(c.columns[:-2], ignore_index=True) for k, c in orders.items()}
     return assemble(enough["word"], enough["stem"], enough["pair"], of, least_gain, prune)
 
 
@@ -302,7 +302,7 @@ def fit(spark: SparkSession, texts: DataFrame, stands_for: dict[int, float]) ->
             found = [shipped.value.features(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    held = texts.where("fold = 1" if part else "true").mapInArrow(tidy(measure), "a double, b double, toxic int").orderBy("a", "b", "toxic").toPandas()
+    held = texts.where("fold = 1" if part else "true").mapInArrow(tidy(measure), "a double, b double, toxic int").toPandas().sort_values(["a", "b", "toxic"], ignore_index=True)
     weights = logistic(held[["a", "b"]].to_numpy(), held["toxic"].to_numpy(), np.array([stands_for.get(int(k), 1.0) for k in held["toxic"]]))
     return Model(whole.index, whole.value, whole.pair, whole.pair_value, weights)
 
