@@ -107,3 +107,14 @@ def file_kind(name: Column) -> Column:
 def progress(done: Column, total: Column) -> Column:
     """Indexing progress in percent: from 5, at most 99 until the end is recorded."""
     return F.least(F.lit(99), 5 + F.floor(done / F.greatest(total, F.lit(1)) * 90).cast("int"))
+
+
+def short_id(*keys: Column) -> Column:
+    """Twelve hexadecimal digits that follow from the keys, so that a rerun names rows alike."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *keys).cast("binary"), 256), 1, 12)
+
+
+def iso_utc(at: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC, whatever the session's time zone; null stays null."""
+    seconds = F.date_format(F.to_utc_timestamp(at, F.expr("current_timezone()")), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(seconds, F.lit("+00:00"))

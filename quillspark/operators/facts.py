@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import figure, grouped, is_number_cell, line_code
+from quillspark.sources.writers import settled
 
 # Line codes and labels of the national chart of accounts.
 INCOME = {
@@ -212,11 +213,12 @@ def questions(spark: SparkSession, found: DataFrame, company: str, carried: Data
 
     Columns: id, question, ground_truth, answer_type, statement, years, gold_numbers, difficulty, lang.  The windows below order line items
     and questions, which are bounded by the chart of accounts and the years."""
-    kept = consistent(found)
+    found = settled(spark, found)
+    kept = settled(spark, consistent(found))
     flow = ~F.col("statement").startswith("cdkt")
     items = kept.select("statement", "code").distinct().withColumn("item", F.row_number().over(Window.orderBy("statement", "code")) - 1)
     headline = spark.createDataFrame([(st, c, i, ENGLISH.get(c)) for i, (st, c) in enumerate(HEADLINE)], "statement string, code string, head int, name string")
-    low = F.concat(F.lower(F.substring("label", 1, 1)), F.substring("label", 2, 10_000))
+    low = F.concat(F.lower(F.substring("label", 1, 1)), F.expr("substring(label, 2)"))
     period = F.when(flow, F.concat(F.lit("năm "), F.col("year").cast("string"))).otherwise(F.concat(F.lit("tại ngày 31/12/"), F.col("year").cast("string")))
     base = kept.join(F.broadcast(items), list(SERIES)).withColumns({"low": low, "period": period, "shown": shown("value_raw", "value"), "bare": bare("value_raw")})
     moved = changes(kept).where(flow).join(F.broadcast(items), list(SERIES)).withColumns({"shown": shown("value_raw", "value"), "shown_before": shown("raw_before", "value_before"), "bare": bare("value_raw"), "bare_before": bare("raw_before")})
@@ -227,7 +229,7 @@ def questions(spark: SparkSession, found: DataFrame, company: str, carried: Data
 
     def add(df: DataFrame, part: int, order, texts, kind: str, years: Column, golds: list, level, lang: str = "vi") -> None:
         question, truth = (t if isinstance(t, Column) else filled(t, company) for t in texts)
-        question = F.concat(F.upper(F.substring(question, 1, 1)), F.substring(question, 2, 10_000))
+        question = F.concat(F.upper(F.substring(question, 1, 1)), F.substr(question, F.lit(2)))
         golds = golds if isinstance(golds, Column) else F.array(*golds)
         columns = [F.lit(part), *(F.col(o) if isinstance(o, str) else F.lit(o) for o in order), question, truth, F.lit(kind), F.col("statement"), years, golds, level if isinstance(level, Column) else F.lit(level), F.lit(lang)]
         out.append(df.select(*[c.cast(f.split(" ")[1]).alias(f.split(" ")[0]) for c, f in zip(columns, QUESTION.split(", "), strict=True)]))
@@ -246,7 +248,7 @@ def questions(spark: SparkSession, found: DataFrame, company: str, carried: Data
         df = ratio(found, over, under).withColumns({"statement": F.lit("kqkd"), "name": F.lit(name), "percent": F.format_string("%.1f", "percent"), "over_label": F.lit(INCOME[over].lower()), "under_label": F.lit(INCOME[under].lower())})
         add(df, 5, (no, "year"), MARGIN, "reasoning", F.array("year"), [bare("over_raw"), bare("under_raw")], "hard")
     add(base.where(~flow), 6, ("item", "year"), OPENING, "numeric_compare", F.array("year"), ["bare", bare("prior_raw")], "medium")
-    abroad = base.join(F.broadcast(headline.where("name IS NOT NULL")), list(SERIES)).withColumn("title", F.concat(F.upper(F.substring("name", 1, 1)), F.substring("name", 2, 200)))
+    abroad = base.join(F.broadcast(headline.where("name IS NOT NULL")), list(SERIES)).withColumn("title", F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)")))
     add(abroad, 7, ("head", "year"), ABROAD, "numeric_single", F.array("year"), ["bare"], "medium", "en")
     amounts = moved.join(F.broadcast(headline), list(SERIES)).withColumns({"way": F.when(F.col("delta") > 0, "tăng").otherwise("giảm"), "amount": grouped(F.floor(F.abs("delta")))})
     add(amounts, 8, ("head", "year"), DELTA, "reasoning", F.array("year_before", "year"), ["bare", "bare_before"], "hard")

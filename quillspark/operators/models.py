@@ -101,22 +101,28 @@ def overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, tokens(text))) / F.size(words)).otherwise(0.0)
 
 
-def chat(answer: Callable[[str], str]):
-    """A column function from prompts to answers; an error becomes a null answer, so that one prompt does not end a batch."""
+def replies(answer: Callable[[str], str]):
+    """A column function from prompts to (text, error): one of the two is null, so that one prompt neither ends a batch nor fails unseen."""
 
-    @F.pandas_udf(StringType())
-    def ask(prompt: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, error string")
+    def ask(prompt: pd.Series) -> pd.DataFrame:
         out = []
         for p in prompt:
             try:
-                out.append(answer(p))
-            except Exception:
-                out.append(None)
-        return pd.Series(out, dtype=object)
+                out.append((answer(p), None))
+            except Exception as error:
+                out.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(out, columns=["text", "error"], dtype=object)
 
     return ask
 
 
+def chat(answer: Callable[[str], str]):
+    """A column function from prompts to answers, null where ``replies`` has an error."""
+    ask = replies(answer)
+    return lambda prompt: ask(prompt)["text"]
+
+
 def extractive(question: Column, context: Column) -> Column:
     """Stand-in for a chat model: the line of the context that holds most of the question's words, the first of equals; a refusal without any."""
     words = F.array_distinct(tokens(question))
@@ -133,6 +139,29 @@ def judged(reply: Column) -> Column:
     return F.when(score.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
+#: What each judge is asked to rate, and which of question, context, answer and reference it sees.
+JUDGES = {
+    "faithfulness": ("how far every statement of the answer is supported by the context", ("context", "answer")),
+    "answer_relevancy": ("how directly the answer addresses the question", ("question", "answer")),
+    "context_precision": ("how much of the context is needed to answer the question", ("question", "context")),
+    "context_recall": ("how much of the reference answer the context contains", ("context", "reference")),
+    "answer_correctness": ("how far the answer agrees with the reference answer in facts and figures", ("question", "answer", "reference")),
+}
+
+
+def judge_prompt(name: str, **given: Column) -> Column:
+    """The prompt of a judge from columns by name; those that it does not see are ignored."""
+    what, sees = JUDGES[name]
+    parts = [F.concat(F.lit(f"{part.capitalize()}:\n"), F.coalesce(given[part], F.lit(""))) for part in sees]
+    return F.concat_ws("\n\n", F.lit(f"Rate {what}, from 0 (not at all) to 1 (wholly)."), *parts, F.lit('Reply with one JSON object: {"score": number, "why": text}.'))
+
+
+def judges(answer: Callable[[str], str], names=tuple(JUDGES)):
+    """A function from columns question, context, answer and reference to a score column for each named judge, held between 0 and 1."""
+    ask = chat(answer)
+    return lambda **given: {name: judged(ask(judge_prompt(name, **given))) for name in names}
+
+
 def judge(answer: Callable[[str], str], criterion: str):
     """A column function (question, context, answer) to a score by an injected chat model."""
     ask = chat(answer)

@@ -54,25 +54,35 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B)
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (qid, vector) against vectors (id, vector): (qid, id, score, rank) of the k nearest by cosine; zero and missing vectors score 0.
+    """queries (qid, vector) against vectors (id, vector): (qid, id, score, rank) of the k nearest by cosine; vectors that are missing, empty,
+    zero, hold null or non-finite components, or have another dimension than the query score 0.
 
     Queries are packed into blocks of ``BLOCK``; each batch of vectors meets each block once, in one product of matrices, and gives
     k candidates a query."""
     schema = "block int, keys array<long>, data binary"
 
     def unit(column: pa.Array) -> np.ndarray:
-        rows = column.to_pylist()
-        dim = max((len(r) for r in rows if r), default=1)
-        x = np.array([r if r else [0.0] * dim for r in rows], np.float64)
+        lists = column.to_pylist()
+        whole = [bool(r) and None not in r for r in lists]
+        dim = max((len(r) for r, ok in zip(lists, whole, strict=True) if ok), default=1)
+        x = np.array([r if ok else [0.0] * dim for r, ok in zip(lists, whole, strict=True)], np.float64)
+        x[~np.isfinite(x).all(axis=1)] = 0.0
+        most = np.abs(x).max(axis=1, keepdims=True)
+        x = x / np.where(most > 0, most, 1.0)  # very large or small components stay finite
         norm = np.sqrt((x * x).sum(axis=1))
         return x / np.where(norm > 0, norm, 1.0)[:, None]
 
+    def by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(batch.column("vector")), 0))
+        for size in np.unique(sizes):
+            yield batch.filter(pa.array(sizes == size))
+
     def packer(key: str):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for begin in range(0, batch.num_rows, BLOCK):
-                    own = batch.slice(begin, BLOCK)
-                    yield pa.RecordBatch.from_pydict({"block": [0], "keys": [own.column(key).to_pylist()], "data": [unit(own.column("vector")).tobytes()]}, pa.schema([("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
+            for own in (part for batch in batches for part in by_dimension(batch)):
+                for begin in range(0, own.num_rows, BLOCK):
+                    own_block = own.slice(begin, BLOCK)
+                    yield pa.RecordBatch.from_pydict({"block": [0], "keys": [own_block.column(key).to_pylist()], "data": [unit(own_block.column("vector")).tobytes()]}, pa.schema([("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
 
         return pack
 
@@ -83,7 +93,8 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         for batch in rows:
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["left"]).reshape(len(r["qids"]), -1), np.frombuffer(r["data"]).reshape(len(r["keys"]), -1)
-                scores, keys = np.round(x @ y.T, DIGITS) + 0.0, np.array(r["keys"])
+                alike = np.round(x @ y.T, DIGITS) + 0.0 if x.shape[1] == y.shape[1] else np.zeros((len(x), len(y)))
+                scores, keys = alike, np.array(r["keys"])
                 order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
                 yield pa.RecordBatch.from_pydict({"qid": np.repeat(r["qids"], order.shape[1]), "id": keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}, pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
 

@@ -23,9 +23,9 @@ TWICE = "hai ô số kề nhau trùng giá trị"
 
 
 def find_column(header: Column, *keywords: str) -> Column:
-    """Index of the first header cell that holds a keyword, else null."""
-    pattern = "|".join(keywords)
-    return F.nullif(F.array_position(F.transform(header, lambda h: label_key(h).rlike(pattern)), F.lit(True)), F.lit(0)).cast("int") - 1
+    """Index of the first header cell that holds a keyword, whatever its case and blanks, else null."""
+    pattern = "(?iu)" + "|".join(r"\s+".join(k.split(" ")) for k in keywords)
+    return F.nullif(F.array_position(F.transform(header, lambda h: h.rlike(pattern)), F.lit(True)), F.lit(0)).cast("int") - 1
 
 
 def longest(cells: Column) -> Column:
@@ -38,30 +38,34 @@ def _finding(df: DataFrame, **values) -> DataFrame:
     return df.select(*[F.lit(values[n]).cast(t).alias(n) if not isinstance(values[n], Column) else values[n].cast(t).alias(n) for n, t in (f.split(" ") for f in FIELDS.split(", "))])
 
 
-def _common(df: DataFrame) -> DataFrame:
-    code = F.when(F.trim(F.get("cells", F.lit(0))).rlike(r"^\d{1,3}$"), F.get("cells", F.lit(0))).otherwise("")
-    return df.withColumns({"ma_so": F.coalesce(code, F.lit("")), "label": F.substring(longest(F.col("cells")), 1, 60), "numbers": F.transform("cells", parse_number)})
+def code_of(cells: Column) -> Column:
+    first = F.get(cells, F.lit(0))
+    return F.coalesce(F.when(F.trim(first).rlike(r"^\d{1,3}$"), first), F.lit(""))
 
 
 def structural(rows: DataFrame) -> DataFrame:
-    """Tier 1: ragged rows of data, large figures in the reference column, equal large figures side by side (the first pair of a row)."""
-    df = _common(rows)
-    own = {"file": F.col("file"), "table": F.col("table_idx"), "row": F.col("row_idx"), "ma_so": F.col("ma_so"), "label": F.col("label")}
-    ragged = df.where((F.size("cells") != F.col("n_cols")) & (F.size(F.filter("numbers", lambda v: v.isNotNull())) >= 2))
-    out = _finding(ragged, **own, column=F.concat(F.size("cells").cast("string"), F.lit("/"), F.col("n_cols").cast("string"), F.lit(" cols")), value="", rule="ragged_row", severity="low", detail=RAGGED)
-    at = find_column(F.col("header"), "thuyết minh", "thuyet minh")
-    ref = df.withColumn("at", at).where("at IS NOT NULL AND at < size(cells)").where(F.abs(F.col("numbers")[F.col("at")]) >= LARGE)
-    out = out.unionByName(_finding(ref, **own, column="Thuyết minh", value=F.col("cells")[F.col("at")], rule="big_num_in_ref_col", severity="high", detail=IN_REFERENCE))
-    pairs = F.filter(F.sequence(F.lit(0), F.size("numbers") - 2), lambda i: (F.col("numbers")[i] == F.col("numbers")[i + 1]) & (F.abs(F.col("numbers")[i]) >= LARGE))
-    twice = df.where("size(numbers) > 1").withColumn("at", F.get(pairs, F.lit(0))).where("at IS NOT NULL")
-    return out.unionByName(_finding(twice, **own, column=F.concat(F.lit("cols "), F.col("at").cast("string"), F.lit(","), (F.col("at") + 1).cast("string")), value=grouped(F.col("numbers")[F.col("at")]), rule="adjacent_duplicate", severity="high", detail=TWICE))
+    """Tier 1: ragged rows of data, large figures in the reference column, equal large figures side by side (the first pair of a row).
+    Each row is parsed once; what it shows comes out as an array of at most three findings."""
+    n, at = F.size("cells"), F.col("at")
+    df = rows.withColumns({"numbers": F.transform("cells", parse_number), "at": find_column(F.col("header"), "thuyết minh", "thuyet minh")})
+    pairs = F.filter(F.sequence(F.lit(0), F.greatest(F.size("numbers") - 2, F.lit(0))), lambda i: (F.get("numbers", i) == F.get("numbers", i + 1)) & (F.abs(F.get("numbers", i)) >= LARGE))
+    df = df.withColumn("twice", F.get(pairs, F.lit(0)))
+    found = lambda column, value, rule, severity, detail: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("string").alias(name) for x, name in ((column, "column"), (value, "value"), (rule, "rule"), (severity, "severity"), (detail, "detail"))])
+    twice = F.col("twice")
+    ragged = F.when((n != F.col("n_cols")) & (F.size(F.filter("numbers", lambda v: v.isNotNull())) >= 2), found(F.concat(n.cast("string"), F.lit("/"), F.col("n_cols").cast("string"), F.lit(" cols")), "", "ragged_row", "low", RAGGED))
+    reference = F.when(F.abs(F.get("numbers", at)) >= LARGE, found("Thuyết minh", F.get("cells", at), "big_num_in_ref_col", "high", IN_REFERENCE))
+    repeated = F.when(twice.isNotNull(), found(F.concat(F.lit("cols "), twice.cast("string"), F.lit(","), (twice + 1).cast("string")), grouped(F.get("numbers", twice)), "adjacent_duplicate", "high", TWICE))
+    df = df.select("file", "table_idx", "row_idx", "cells", F.explode(F.filter(F.array(ragged, reference, repeated), lambda x: x.isNotNull())).alias("found"))
+    given = {x: F.col(f"found.{x}") for x in ("column", "value", "rule", "severity", "detail")}
+    return _finding(df, file=F.col("file"), table=F.col("table_idx"), row=F.col("row_idx"), ma_so=code_of(F.col("cells")), label=F.substring(longest(F.col("cells")), 1, 60), **given)
 
 
 def arithmetic(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Tier 2: income-statement identities, where the table has codes 01, 10 and 20 and code 01 is revenue."""
-    df = _common(rows).withColumn("at", find_column(F.col("header"), "năm nay", "nam nay")).where("at IS NOT NULL AND at < size(cells) AND ma_so <> ''")
-    df = df.select("file", "table_idx", "row_idx", F.trim("ma_so").alias("ma_so"), F.substring("label", 1, 50).alias("label"), F.col("numbers")[F.col("at")].alias("v")).where("v IS NOT NULL")
     codes = sorted({c for result, parts in IDENTITIES for c in (result, *parts)})
+    df = rows.withColumn("ma_so", F.trim(code_of(F.col("cells")))).where(F.col("ma_so").isin(codes))
+    df = df.withColumn("at", find_column(F.col("header"), "năm nay", "nam nay")).where("at IS NOT NULL AND at < size(cells)")
+    df = df.select("file", "table_idx", "row_idx", "ma_so", F.substring(longest(F.col("cells")), 1, 50).alias("label"), parse_number(F.get("cells", F.col("at"))).alias("v")).where("v IS NOT NULL")
     pick = lambda c, x: F.max_by(F.when(F.col("ma_so") == c, F.col(x)), F.when(F.col("ma_so") == c, F.col("row_idx")))
     wide = df.groupBy("file", "table_idx").agg(*[pick(c, "v").alias(f"v{c}") for c in codes], *[pick(c, "label").alias(f"l{c}") for c in codes])
     wide = wide.where("v01 IS NOT NULL AND v10 IS NOT NULL AND v20 IS NOT NULL").where(label_key(F.col("l01")).contains("doanh thu"))

@@ -339,15 +339,16 @@ def line_carry_forward(spark, sf):
 LEVELS = "CASE WHEN len(line) % 5 < 3 AND len(trim(line)) > 0 THEN len(line) % 5 + 1 END"
 
 
-@query(rf"""WITH RECURSIVE {ALL_LINES}, h AS (SELECT doc_id, line_no, {LEVELS} AS level, line FROM l WHERE len(line) < 60 AND {LEVELS} IS NOT NULL),
+@query(rf"""WITH RECURSIVE {ALL_LINES}, h AS (SELECT doc_id, line_no, {LEVELS} AS level, line FROM l WHERE {LEVELS} IS NOT NULL),
 parent AS (SELECT a.doc_id, a.line_no, max(b.line_no) AS up FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL),
 walk AS (SELECT h.doc_id, h.line_no, p.up, trim(h.line) AS crumb FROM h JOIN parent p USING (doc_id, line_no) UNION ALL SELECT w.doc_id, w.line_no, p.up, trim(h.line) || ' > ' || w.crumb FROM walk w JOIN h ON h.doc_id = w.doc_id AND h.line_no = w.up JOIN parent p ON p.doc_id = w.doc_id AND p.line_no = w.up)
 SELECT doc_id, line_no, crumb AS heading FROM walk WHERE up IS NULL""")
 def heading_breadcrumb(spark, sf):
-    """Short lines as headings whose level follows their length; the breadcrumb of each."""
+    """Lines as headings whose level follows their length, or as text; the breadcrumb of each heading."""
     size = F.length("line")
-    head = (size < 60) & (size % 5 < 3) & (F.length(F.trim("line")) > 0)
-    lines = doc_lines(spark, sf).where(head).withColumn("line", F.concat(F.repeat(F.lit("#"), (size % 5 + 1).cast("int")), F.lit(" "), F.trim("line")))
+    head = (size % 5 < 3) & (F.length(F.trim("line")) > 0)
+    line = F.when(head, F.concat(F.repeat(F.lit("#"), (size % 5 + 1).cast("int")), F.lit(" "), F.trim("line"))).otherwise(F.concat(F.lit("text "), "line"))
+    lines = doc_lines(spark, sf).withColumn("line", line)
     return chunking.with_marks(lines).where("kind = 'heading'").select("doc_id", "line_no", "heading")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,21 +66,56 @@ def page_pairs(predicted: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFr
     return pairs, skipped
 
 
-def pages(binary: DataFrame, extract) -> DataFrame:
-    """(path, page_no, text) of documents: ``extract(bytes)`` gives the texts of the pages.  A file that fails gives one row with ``error``,
-    and blank pages are left out; the extractor is injected, so no PDF library is required here."""
+#: Ways to get the texts of a file's pages, by name: functions of its bytes.  ``register`` adds to them.
+ENGINES: dict[str, Callable[[bytes], list[str]]] = {}
+#: Characters that a text layer must hold to be used instead of recognition.
+LEAST_CHARS = 40
+
+
+def register(name: str, extract: Callable[[bytes], list[str]]) -> None:
+    ENGINES[name] = extract
+
+
+def engine(name: str) -> Callable[[bytes], list[str]]:
+    if name not in ENGINES:
+        raise KeyError(f"no engine {name!r}; there are {sorted(ENGINES)}")
+    return ENGINES[name]
+
+
+def usable(texts: list[str]) -> bool:
+    """Whether a text layer holds more than ``LEAST_CHARS`` characters that are not blank."""
+    return sum(len("".join((t or "").split())) for t in texts) > LEAST_CHARS
+
+
+def with_fallback(layer: Callable[[bytes], list[str]], recognise: Callable[[bytes], list[str]] | None = None) -> Callable[[bytes], list[str]]:
+    """The text layer where it is usable, else recognition, else nothing."""
+
+    def extract(content: bytes) -> list[str]:
+        texts = layer(content)
+        return texts if usable(texts) else recognise(content) if recognise else []
+
+    return extract
+
+
+def pages(binary: DataFrame, extract, first: int = 1, last: int | None = None) -> DataFrame:
+    """(path, page_no, text) of documents: ``extract(bytes)``, or the engine of that name, gives the texts of the pages.  Pages are counted from 1,
+    and only those from ``first`` to ``last`` are kept.  A file that fails gives one row with ``error``, and blank pages are left out;
+    the extractor is injected, so no PDF library is required here."""
+    run_one = engine(extract) if isinstance(extract, str) else extract
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, i, text, None) for i, text in enumerate(extract(bytes(content)), 1) if text and text.strip()]
+                    rows += [(path, i, text, None) for i, text in enumerate(run_one(bytes(content)), 1) if text and text.strip()]
                 except Exception as error:  # one bad file must not end the batch
                     rows.append((path, None, None, str(error)))
             yield pd.DataFrame(rows, columns=["path", "page_no", "text", "error"]).astype({"page_no": "Int32"})
 
-    return binary.select("path", "content").mapInPandas(run, "path string, page_no int, text string, error string")
+    found = binary.select("path", "content").mapInPandas(run, "path string, page_no int, text string, error string")
+    within = F.col("page_no") >= first if last is None else F.col("page_no").between(first, last)
+    return found.where(F.col("error").isNotNull() | within)
 
 
 def unprocessed(inputs: DataFrame, outputs: DataFrame, key: str = "name") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,13 +34,79 @@ def write_texts(docs: DataFrame, path: str) -> None:
     docs.select("name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
-def findings_report(findings: DataFrame, most: int = 10_000) -> str:
-    """Findings as a Markdown report; the counts cover all, the list shows the first ``most``."""
-    from quillspark.operators.validation import counts, in_order
+_own: dict[str, str] = {}
+
+
+def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that driver and executors share and read back: what follows neither computes it again nor loses it with
+    an executor.  The folder is spark.checkpoint.dir, a temporary one only where that is unset; what is written goes when the driver ends."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not base:
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        base = _own[app]
+    path = f"{base.rstrip('/')}/quillspark-settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pipe_lines(header: list[str], rows: list[list]) -> list[str]:
+    shown = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+    return [f"| {' | '.join(map(shown, r))} |" for r in (header, ["---"] * len(header), *rows)]
+
+
+FINDING = ("severity", "file", "table", "row", "column", "value", "rule", "detail")
+
+
+def _summary(findings: DataFrame) -> list[str]:
+    """The head of a report: how many findings of each rule, a row for each of a fixed list."""
+    from quillspark.operators.validation import counts
 
     total = counts(findings).orderBy(F.col("n").desc(), "rule").collect()
-    lines = ["# Table validation", "", f"Flagged cells: {next((r['n'] for r in total if r['rule'] is None and r['severity'] is None), 0)}", "", "| Rule | Severity | Count |", "|---|---|---|"]
-    lines += [f"| {r['rule']} | {r['severity']} | {r['n']} |" for r in total if r["rule"] is not None]
-    lines += ["", "| Severity | File | Table | Row | Column | Value | Rule | Detail |", "|---|---|---|---|---|---|---|---|"]
-    lines += [f"| {r['severity']} | {r['file']} | {r['table']} | {r['ma_so'] or r['row']} | {r['column']} | {r['value']} | {r['rule']} | {r['detail']} |" for r in in_order(findings).limit(most).collect()]
-    return "\n".join(lines) + "\n"
+    every = next((r["n"] for r in total if r["rule"] is None and r["severity"] is None), 0)
+    return ["# Table validation", "", f"Flagged cells: {every}", "", *pipe_lines(["Rule", "Severity", "Count"], [[r["rule"], r["severity"], r["n"]] for r in total if r["rule"] is not None])]
+
+
+def findings_report(findings: DataFrame, top: int = 10_000) -> str:
+    """A report to read: counts of all findings and the ``top`` first of them in order.  ``write_findings`` lists all."""
+    from quillspark.operators.validation import in_order
+
+    rows = [[r["ma_so"] or r["row"] if c == "row" else r[c] for c in FINDING] for r in in_order(findings).limit(top).collect()]
+    return "\n".join([*_summary(findings), "", *pipe_lines([c.capitalize() for c in FINDING], rows)]) + "\n"
+
+
+def write_findings(findings: DataFrame, path: str) -> None:
+    """``path``/summary, one file of counts, and ``path``/findings, every finding in order as lines of a pipe table, spread over files."""
+    from quillspark.operators.validation import in_order
+
+    spark = findings.sparkSession
+    spark.createDataFrame([("\n".join(_summary(findings)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    cells = [F.coalesce(F.nullif("ma_so", F.lit("")), F.col("row").cast("string")) if c == "row" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FINDING]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    in_order(findings).select(line.alias("value")).write.mode("overwrite").text(f"{path}/findings")
+
+
+def write_evaluation(items: DataFrame, totals: DataFrame, path: str, title: str = "Evaluation") -> str:
+    """An evaluation as ``path``/items (JSON lines, a row for each), ``path``/report (JSON and Markdown of the means) and ``path``/latest (the
+    Markdown again).  totals has a row for each answer type and one for all; the Markdown is also returned."""
+    spark, columns = items.sparkSession, totals.columns
+    items.write.mode("overwrite").json(f"{path}/items")
+    rows = sorted(totals.collect(), key=lambda r: (r[columns[0]] is not None, str(r[columns[0]])))
+    markdown = "\n".join([f"# {title}", "", *pipe_lines(columns, [["all" if x is None and i == 0 else x for i, x in enumerate(r)] for r in rows])]) + "\n"
+    report = json.dumps({"title": title, "rows": [r.asDict(True) for r in rows]}, ensure_ascii=False)
+    spark.createDataFrame([("json", report), ("md", markdown)], "kind string, value string").coalesce(1).write.mode("overwrite").partitionBy("kind").text(f"{path}/report")
+    spark.createDataFrame([(markdown,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/latest")
+    return markdown
+
+
+def batch_report(results: DataFrame) -> DataFrame:
+    """results (name, page_no, text, seconds, error), a row for each page, to a row for each document: name, pages, characters, seconds,
+    failed pages and status."""
+    failed = F.count_if(F.col("error").isNotNull())
+    return results.groupBy("name").agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.round(F.sum("seconds"), 3).alias("seconds"), failed.alias("failed"), F.when(failed == 0, "ok").when(failed == F.count("*"), "failed").otherwise("partial").alias("status"))
+
+
+def write_batch_report(results: DataFrame, path: str) -> None:
+    write_csv(batch_report(results).orderBy("name"), path)
