@@ -60,14 +60,22 @@ def structural(rows: DataFrame) -> DataFrame:
     return _finding(df, file=F.col("file"), table=F.col("table_idx"), row=F.col("row_idx"), ma_so=code_of(F.col("cells")), label=F.substring(longest(F.col("cells")), 1, 60), **given)
 
 
+def has_code(code: str):
+    return lambda entry: entry["ma_so"] == code
+
+
 def arithmetic(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Tier 2: income-statement identities, where the table has codes 01, 10 and 20 and code 01 is revenue."""
     codes = sorted({c for result, parts in IDENTITIES for c in (result, *parts)})
     df = rows.withColumn("ma_so", F.trim(code_of(F.col("cells")))).where(F.col("ma_so").isin(codes))
     df = df.withColumn("at", find_column(F.col("header"), "năm nay", "nam nay")).where("at IS NOT NULL AND at < size(cells)")
     df = df.select("file", "table_idx", "row_idx", "ma_so", F.substring(longest(F.col("cells")), 1, 50).alias("label"), parse_number(F.get("cells", F.col("at"))).alias("v")).where("v IS NOT NULL")
-    pick = lambda c, x: F.max_by(F.when(F.col("ma_so") == c, F.col(x)), F.when(F.col("ma_so") == c, F.col("row_idx")))
-    wide = df.groupBy("file", "table_idx").agg(*[pick(c, "v").alias(f"v{c}") for c in codes], *[pick(c, "label").alias(f"l{c}") for c in codes])
+    # Of rows that repeat a code the last holds.  A table's coded rows are few; one list of them needs no sort by key.
+    coded = F.array_sort(F.collect_list(F.struct("row_idx", "ma_so", "v", "label"))).alias("coded")
+    wide = df.groupBy("file", "table_idx").agg(coded)
+    last = {c: F.get(F.reverse(F.filter("coded", has_code(c))), F.lit(0)) for c in codes}
+    named = ("01", *(result for result, _ in IDENTITIES))
+    wide = wide.select("file", "table_idx", *[last[c]["v"].alias(f"v{c}") for c in codes], *[last[c]["label"].alias(f"l{c}") for c in named])
     wide = wide.where("v01 IS NOT NULL AND v10 IS NOT NULL AND v20 IS NOT NULL").where(label_key(F.col("l01")).contains("doanh thu"))
     out = None
     for result, parts in IDENTITIES:

@@ -197,7 +197,7 @@ def _rule(spark, sf, rule: str) -> DataFrame:
     return validation.structural(line_cells(spark, sf)).where(F.col("rule") == rule).select("file", "row", "value", "severity")
 
 
-@query(f"WITH {_ROWS} SELECT file, row, {_GROUPED.format('a')} AS value, 'high' AS severity FROM r WHERE NOT short AND a = b AND a >= 1000")
+@query(f"WITH {_ROWS} SELECT file, row, {_GROUPED.format('a')} AS value, 'high' AS severity FROM r WHERE a >= 1000 AND (l_partkey = a OR (NOT short AND a = b))")
 def adjacent_duplicate(spark, sf):
     """Equal large figures side by side."""
     return _rule(spark, sf, "adjacent_duplicate")
@@ -248,7 +248,7 @@ def cross_year_mismatch(spark, sf):
     return validation.cross_year(yearly_cells(spark, sf)).select("file", "label", "column", "value")
 
 
-@query(f"""WITH {_ROWS}, {_IDENTITY}, {FACTS}, a AS (SELECT 'adjacent_duplicate' AS rule, 'high' AS severity, count(*) AS n FROM r WHERE NOT short AND a = b AND a >= 1000
+@query(f"""WITH {_ROWS}, {_IDENTITY}, {FACTS}, a AS (SELECT 'adjacent_duplicate' AS rule, 'high' AS severity, count(*) AS n FROM r WHERE a >= 1000 AND (l_partkey = a OR (NOT short AND a = b))
 UNION ALL SELECT 'ragged_row', 'low', count(*) FROM r WHERE short UNION ALL SELECT 'big_num_in_ref_col', 'high', count(*) FROM r WHERE l_partkey >= 1000
 UNION ALL SELECT 'arithmetic_mismatch', 'medium', count(*) FROM i WHERE abs(a - b - c) > 1
 UNION ALL SELECT 'cross_year_mismatch', 'high', count(*) FROM f a JOIN f b ON b.code = a.code AND b.year = a.year - 1 WHERE a.prior <> b.cents)
