@@ -35,6 +35,8 @@ from quillspark.llm.common import ascii_lower, tidy
 MARK = "▁"
 #: Weight of the existing scores against the expected counts of the corpus.
 PRIOR_WEIGHT = 1000.0
+#: Characters of a word up to which the pieces of its lattice are held between the two passes of an expectation.
+KEPT = 4096
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,16 @@ class Vocabulary:
     pieces: dict[str, float]
     byte: tuple[float, ...]
     longest: int
+    #: By their last two characters, the length of the longest piece.
+    reach: dict[str, int]
+
+
+def reach_of(pieces) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for piece in pieces:
+        if len(piece) > found.get(piece[-2:], 1):
+            found[piece[-2:]] = len(piece)
+    return found
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -60,20 +72,20 @@ def from_scores(scored: list[tuple[str, float]]) -> Vocabulary:
     weights = {piece: 1.0 / (2.7 + i) for i, (piece, _) in enumerate(ranked)}
     least = 1.0 / (2.7 + len(ranked))
     total = sum(weights.values()) + 256 * least
-    return Vocabulary({p: math.log(w / total) for p, w in weights.items()}, (math.log(least / total),) * 256, max(map(len, weights), default=1))
+    return Vocabulary({p: math.log(w / total) for p, w in weights.items()}, (math.log(least / total),) * 256, max(map(len, weights), default=1), reach_of(weights))
 
 
 def refit(prior: Vocabulary, expected: dict[str, float], byte: dict[int, float]) -> Vocabulary:
     """Weights in proportion to expected counts plus PRIOR_WEIGHT times the earlier weights."""
     total = sum(expected.values()) + sum(byte.values()) + PRIOR_WEIGHT
     lift = lambda weight, seen: math.log((seen + PRIOR_WEIGHT * math.exp(weight)) / total)
-    return Vocabulary({p: lift(w, expected.get(p, 0.0)) for p, w in prior.pieces.items()}, tuple(lift(w, byte.get(i, 0.0)) for i, w in enumerate(prior.byte)), prior.longest)
+    return Vocabulary({p: lift(w, expected.get(p, 0.0)) for p, w in prior.pieces.items()}, tuple(lift(w, byte.get(i, 0.0)) for i, w in enumerate(prior.byte)), prior.longest, prior.reach)
 
 
 def ending(word: str, j: int, v: Vocabulary) -> list[tuple[int, float, str]]:
     """The pieces that end at a position: (start, log weight, piece; empty for fallback bytes)."""
     get, here = v.pieces.get, []
-    for i in range(max(0, j - v.longest), j):
+    for i in range(max(0, j - (v.reach.get(word[j - 2 : j], 1) if j > 1 else 1)), j):
         piece = word[i:j]
         weight = get(piece)
         if weight is not None:
@@ -83,11 +95,15 @@ def ending(word: str, j: int, v: Vocabulary) -> list[tuple[int, float, str]]:
     return here
 
 
-def forward(word: str, v: Vocabulary) -> list[float]:
-    """Log of the summed probability of all ways to reach each position: one number a character, however long the word."""
+def forward(word: str, v: Vocabulary, kept: list | None = None) -> list[float]:
+    """Log of the summed probability of all ways to reach each position: one number a character, however long the word.  ``kept``, if given,
+    gets the pieces that end at each position."""
     exp, log, alpha = math.exp, math.log, [0.0]
     for j in range(1, len(word) + 1):
-        ways = [alpha[i] + w for i, w, _ in ending(word, j, v)]
+        here = ending(word, j, v)
+        if kept is not None:
+            kept.append(here)
+        ways = [alpha[i] + w for i, w, _ in here]
         if len(ways) == 1:
             alpha.append(ways[0])
         else:
@@ -131,14 +147,15 @@ class Spans:
 def expect(word: str, times: float, v: Vocabulary, pieces: dict, byte: Counter) -> None:
     """Add the expected piece counts of ``times`` occurrences of a word."""
     word = MARK + word
-    alpha, n, exp = forward(word, v), len(word), math.exp
+    kept = [] if len(word) <= KEPT else None  # the pieces of a longer word are looked up again
+    alpha, n, exp = forward(word, v, kept), len(word), math.exp
     # share[j]: posterior probability that a cut lies at j, passed backwards along the pieces that end there.
     share = [0.0] * n + [times]
     for j in range(n, 0, -1):
         if share[j] <= 1e-12:
             continue
         base = alpha[j]
-        for i, weight, piece in ending(word, j, v):
+        for i, weight, piece in kept[j - 1] if kept is not None else ending(word, j, v):
             part = share[j] * exp(alpha[i] + weight - base)
             share[i] += part
             if piece:
