@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, unpacked, whole_row
+from quillspark.llm.common import WORD, quoted, unpacked, whole_row
 
 # Weights of the sources in order, repeating; the mix is this share of all sizes; no source exceeds this many times its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -46,25 +46,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return df.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def drawn(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
-    """(row, size, source_size, target, copies) of each row of docs; ``row`` holds it whole."""
-    source = F.col("row").getField("source")
+def drawn(docs: DataFrame, columns: list[str], text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
+    """(row, size, source_size, target, copies) of each row of docs; ``row`` holds ``columns`` of it.  What is not among them is not moved."""
+    source, id_text = F.col("source"), F.col("doc_id").cast("string")
     key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string")))
-    size = F.coalesce(F.regexp_count(F.col("row").getField(text), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
     # Size class: number of binary digits, then the leading three.
     binary = F.bin("size")
-    df = docs.select(whole_row(docs)).select("row", source.alias("source"), key.alias("key"), size.alias("size"), F.col("row").getField("doc_id").cast("string").alias("id"))
-    df = df.select("row", "source", "key", "size", F.coalesce("id", F.lit("")).alias("id"), F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 3)).alias("class"), number(F.coalesce("id", F.lit("")), seed).alias("order"), F.col("id").isNull().alias("nameless"))
+    df = docs.select(whole_row(docs.select(*map(quoted, columns))), source.alias("source"), key.alias("key"), size.alias("size"), id_text.alias("id"), F.xxhash64(quoted(text)).alias("content"))
+    df = df.select("row", "source", "key", "size", "content", F.coalesce("id", F.lit("")).alias("id"), F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 3)).alias("class"), number(F.coalesce("id", F.lit("")), seed).alias("order"), F.col("id").isNull().alias("nameless"))
     # Rows without an id would all have one salt.
-    content = F.xxhash64(F.col("row").getField(text))
-    df = df.withColumn("salt", F.when(F.col("nameless"), F.pmod(content, F.lit(salts))).otherwise(F.col("order") % salts))
+    df = df.withColumn("salt", F.when(F.col("nameless"), F.pmod("content", F.lit(salts))).otherwise(F.col("order") % salts))
     classes = df.groupBy("key", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
     sized = classes.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     goal = targets(sized.select("source", "source_size")).withColumnRenamed("source", "of")
     goal = goal.select(F.when(F.col("of").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("of").cast("string"))).alias("key"), F.col("source_size").alias("words"), "target")
     before = F.sum("n").over(Window.partitionBy("key").orderBy("class", "salt")) - F.col("n")
     starts = classes.select("key", "class", "salt", before.alias("before")).join(goal, "key")
-    rank = F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", "order", "id", content))
+    rank = F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", "order", "id", "content"))
     df = df.withColumn("rank", rank).join(starts, ["key", "class", "salt"])
     rate = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
     at, offset = F.col("before") + F.col("rank"), number(F.col("key"), seed) / F.lit(2.0**32)
@@ -72,16 +71,16 @@ def drawn(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = S
     return df.select("row", "size", F.col("words").alias("source_size"), "target", F.least(copies, F.ceil(rate)).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
-    """docs and: size, source_size, target, copies and taken (copies times size)."""
-    own = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
-    df = drawn(docs, text, seed, salts)
+def mix(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS, columns: list[str] | None = None) -> DataFrame:
+    """docs (or ``columns`` of it) and: size, source_size, target, copies and taken (copies times size)."""
+    own = [c for c in (docs.columns if columns is None else columns) if c not in {"size", "source_size", "target", "copies", "taken"}]
+    df = drawn(docs, own, text, seed, salts)
     return df.select(*unpacked(own), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, text: str = "text", seed: str = "mix", salts: int = SALTS) -> DataFrame:
     """The mix itself: each row of docs, with its own columns, as many times as it is taken."""
-    df = drawn(docs, text, seed, salts).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    df = drawn(docs, docs.columns, text, seed, salts).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return df.select(*unpacked(docs.columns))
 
 

@@ -64,7 +64,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
     return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), "copies", "taken")
 
 
