@@ -6,20 +6,23 @@ sum of their bucket differences plus capped penalties for length and ratios; the
 likeness is 1 less its share of the bound.
 
 ``with_next`` finds each document's successor by id without putting the table into one task: rows are dealt into ranges of ids,
-and the first document of a range is also sent to the end of the range before it.
+and the first document of a range is also sent to the end of the range before it.  An id that many rows share, null among them, is cut
+into ranges of the text's hash as well, so that only rows equal in id and text stay together.
 
-Null texts count as empty, and all empty texts have the same digest.  Documents with a null id come last; ties in id are
-ordered by the text's hash.  A lone document is its own successor.
+Null texts count as empty, and all empty texts have the same digest.  Texts of any length are read whole.  Documents with a null id
+come last; ties in id are ordered by the text's hash.  A lone document is its own successor.  Empty tables give no rows.  Columns of
+the input other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions
@@ -28,6 +31,7 @@ BUCKETS = 256
 #: Difference from which digests count as wholly unlike: what independent quartiles give on average.
 CAP = BUCKETS * 1.25
 LAST = 2**63 - 1
+LEAST = -(2**63)
 
 
 def digest(data: bytes) -> str:
@@ -75,16 +79,30 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"))
     # As many ids as there are partitions come to the driver.
     found = rows.agg(F.min("k").alias("least"), F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()
-    cuts = sorted({found["least"], *(found["cuts"] or [])} - {None})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    own = F.size(F.filter(bounds, lambda c: c <= F.col("k"))) - 1
-    rows = rows.select("doc_id", "text", "k", own.alias("own"))
-    begins = F.element_at(bounds, (F.col("own") + 1).cast("int")) == F.col("k")
-    places = F.when(begins, F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))).alias("bucket"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("tail"))))
-    rows = rows.select("doc_id", "text", "k", F.explode(places).alias("place")).select("doc_id", "text", "k", "place.bucket", "place.tail")
+    repeats = Counter(c for c in (found["least"], *(found["cuts"] or [])) if c is not None)
+    hot = [c for c, m in repeats.items() if m > 1]
+    rows = rows.withColumn("at", F.struct("k", (F.when(F.col("k").isin(hot), F.xxhash64("text")).otherwise(F.lit(LEAST)) if hot else F.lit(LEAST)).alias("h")))
+    cuts = sorted((c, LEAST + i * (2**64 // m)) for c, m in repeats.items() for i in range(m))
+    if hot:
+        # A range begins with its least row, and an empty range is none.
+        cuts = sorted(tuple(r["at"]) for r in rows.groupBy(range_of(cuts).alias("own")).agg(F.min("at").alias("at")).collect())
+    rows = rows.withColumn("own", range_of(cuts))
+    begins = F.element_at(places_of(cuts), (F.col("own") + 1).cast("int")) == F.col("at")
+    own, before = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))).alias("bucket"), F.lit(1).alias("tail"))
+    rows = rows.select("doc_id", "text", "k", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own))).alias("place")).select("doc_id", "text", "k", "place.bucket", "place.tail")
     return rows.repartitionById(max(1, len(cuts)), F.col("bucket")).sortWithinPartitions("bucket", "tail", "k", F.xxhash64("text"))
 
 
+def places_of(cuts: list[tuple[int, int]]) -> Column:
+    """Where ranges begin: pairs of an id and a text's hash."""
+    return F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in cuts])
+
+
+def range_of(cuts: list[tuple[int, int]]) -> Column:
+    """Number of the range that a row's ``at`` lies in."""
+    return F.size(F.filter(places_of(cuts), lambda c: c <= F.col("at"))) - 1 if cuts else F.lit(0)
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the text replaced by as much of the start of the following text, or all of it."""
     n = len(text) // 2

@@ -239,6 +239,19 @@ def test_digest_edits_and_neighbours(spark, data, odd, none):
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
 
 
+def test_digest_many_rows_of_one_id(spark):
+    rows = [(None if i % 3 else 7 if i % 2 else i, f"text number {i} of many") for i in range(3_000)] + [(None, "a copy")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    dealt = digest.with_next(spark, docs)
+    own = [r["n"] for r in dealt.where("tail = 0").groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert sum(own) == len(rows) and max(own) < 500
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted((digest.LAST if i is None else i, hashes[t], t) for i, t in rows)
+    want = sorted((i, digest.digest(t.encode()), hashlib.sha256(digest.edited(t, order[(n + 1) % len(order)][2]).encode()).hexdigest()) for n, (i, _, t) in enumerate(order))
+    got = sorted((digest.LAST if r["doc_id"] is None else r["doc_id"], r["fingerprint"], r["edited_sha256"]) for r in digest.fingerprints(spark, docs).collect())
+    assert got == want
+
+
 def test_digest_halves_are_nearer_than_strangers(spark, data):
     got = digest.fingerprints(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("n_chars > 400").toPandas()
     assert (got.near_edited >= got.near_next).mean() > 0.9
