@@ -26,4 +26,20 @@ n AS (SELECT u, count(*) AS links FROM l GROUP BY u)
 SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
 FROM embeddings LEFT JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id"""
 
-SQL = {"op2_covertree": OP2, "op10_mixing": OP10}
+#: Phrases by list slices, counted and cut in one table; 128-bit whole numbers hold the products.
+OP11 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3)) AS t(n) WHERE len(words) >= n),
+f AS (SELECT lang, n, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE n = 1 GROUP BY lang),
+c AS (SELECT lang, n AS words, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE n >= 2 AND f >= 10),
+k AS (SELECT c.*, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score FROM k
+  JOIN f l ON l.lang = k.lang AND l.n = k AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.n = words - k AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE words = 3),
+kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.phrase = b.phrase AND 100 * h.a >= 50 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n, score::BIGINT AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""
+
+SQL = {"op2_covertree": OP2, "op10_mixing": OP10, "op11_collocations": OP11}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, covertree, digest, langid, lattice, licenses, mixing, pii, simhash, toxicity
+from quillspark.llm import bpe, collocations, covertree, digest, langid, lattice, licenses, mixing, pii, simhash, toxicity
 from quillspark.llm.common import crc_mod, table
 
 #: Paths of vocabulary files that are installed beside the library; none is copied into the repository.
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), "copies", "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_covertree": op2_covertree,
@@ -79,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
 }
