@@ -42,4 +42,29 @@ kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.la
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n, score::BIGINT AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""
 
-SQL = {"op2_covertree": OP2, "op10_mixing": OP10, "op11_collocations": OP11}
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_TREE = """{0}(tree, level, pos, n, hash) AS (SELECT tree, 0, pos, n, hash FROM {1}
+  UNION ALL SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+#: Slot and sibling of a node at each level below the root of its tree.
+_STEPS = """{0} AS (SELECT s.row, list(((s.pos >> t.level) & 1)::VARCHAR || coalesce(o.hash, '') ORDER BY t.level) AS steps FROM {1} s
+  JOIN {2} t ON t.tree = s.tree AND t.pos = (s.pos >> t.level) AND t.n > 1
+  LEFT JOIN {2} o ON o.tree = t.tree AND o.level = t.level AND o.pos = xor(t.pos, 1) GROUP BY s.row)"""
+
+#: CRC-32 byte by byte with a table of 256; trees level by level; a proof is a list of slots and siblings, folded by list_reduce.
+OP13 = f"""WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+b AS (SELECT *, row_number() OVER () AS row, coalesce('+' || lang, '') AS tree, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda c, x: xor(c >> 8, crc.t[xor(c, x) % 256 + 1])), 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS other_chars FROM documents CROSS JOIN crc),
+l AS (SELECT row, tree, doc_id, {_LEAF.format("n_chars")} AS hash, {_LEAF.format("other_chars")} AS other FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{_TREE.format("x", "p")},
+r AS (SELECT tree AS name, tree AS row, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, hash FROM x WHERE n = 1),
+{_TREE.format("y", "r")},
+{_STEPS.format("e", "p", "x")},
+{_STEPS.format("u", "r", "y")},
+w AS (SELECT p.*, r.hash AS subroot, list_concat(coalesce(e.steps, []), coalesce(u.steps, [])) AS steps FROM p JOIN r ON r.name = p.tree LEFT JOIN e ON e.row = p.row LEFT JOIN u ON u.row = r.row),
+z AS (SELECT w.*, (SELECT hash FROM y WHERE n = 1) AS root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof,
+  list_reduce(list_prepend(other, steps), lambda a, s: sha256(CASE WHEN s[1] = '0' THEN a || s[2:] ELSE s[2:] || a END)) AS folded FROM w)
+SELECT doc_id, hash AS leaf, subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified FROM z"""
+
+SQL = {"op2_covertree": OP2, "op10_mixing": OP10, "op11_collocations": OP11, "op13_merkle": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, collocations, covertree, digest, langid, lattice, licenses, mixing, pii, simhash, toxicity
+from quillspark.llm import bpe, collocations, covertree, digest, langid, lattice, licenses, merkle, mixing, pii, simhash, toxicity
 from quillspark.llm.common import crc_mod, table
 
 #: Paths of vocabulary files that are installed beside the library; none is copied into the repository.
@@ -72,6 +72,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(spark, merkle.tampered(table(spark, sf_dir, "documents")))
+    return merkle.proofs(made).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_covertree": op2_covertree,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_collocations": op11_collocations,
+    "op13_merkle": op13_merkle,
 }
