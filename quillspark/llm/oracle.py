@@ -42,6 +42,19 @@ kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.la
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n, score::BIGINT AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every run of as many words as some window has, as text, met with the windows.
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+x AS (SELECT DISTINCT item, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda s: array_to_string(w[s:s + 9], ' '))) AS win FROM i WHERE len(w) > 0),
+s AS (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT k FROM x) AS ks WHERE len(w) >= k),
+m AS (SELECT s.row, s.s, s.k, x.item FROM (SELECT row, s, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM s) AS s JOIN x USING (k, win)),
+h AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + k)) AS p FROM m) GROUP BY row),
+c AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM m) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN c USING (row)"""
+
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
 _TREE = """{0}(tree, level, pos, n, hash) AS (SELECT tree, 0, pos, n, hash FROM {1}
@@ -67,4 +80,4 @@ z AS (SELECT w.*, (SELECT hash FROM y WHERE n = 1) AS root, sha256(array_to_stri
   list_reduce(list_prepend(other, steps), lambda a, s: sha256(CASE WHEN s[1] = '0' THEN a || s[2:] ELSE s[2:] || a END)) AS folded FROM w)
 SELECT doc_id, hash AS leaf, subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified FROM z"""
 
-SQL = {"op2_covertree": OP2, "op10_mixing": OP10, "op11_collocations": OP11, "op13_merkle": OP13}
+SQL = {"op2_covertree": OP2, "op10_mixing": OP10, "op11_collocations": OP11, "op12_positional": OP12, "op13_merkle": OP13}

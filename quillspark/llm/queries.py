@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, collocations, covertree, digest, langid, lattice, licenses, merkle, mixing, pii, simhash, toxicity
+from quillspark.llm import bpe, collocations, covertree, digest, langid, lattice, licenses, merkle, mixing, pii, positional, simhash, toxicity
 from quillspark.llm.common import crc_mod, table
 
 #: Paths of vocabulary files that are installed beside the library; none is copied into the repository.
@@ -72,6 +72,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(spark, merkle.tampered(table(spark, sf_dir, "documents")))
     return merkle.proofs(made).withColumnRenamed("id", "doc_id")
@@ -89,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_collocations": op11_collocations,
+    "op12_positional": op12_positional,
     "op13_merkle": op13_merkle,
 }
