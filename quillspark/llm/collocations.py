@@ -68,8 +68,8 @@ def phrases_of(texts: list[bytes | None], max_n: int) -> Iterator[tuple[pa.Array
 
 
 def exploded(docs: DataFrame, max_n: int, lang: str = "lang", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, f): every phrase of every text, added up within a block; ``f`` of the empty phrase is the number of words.  The key is the phrase, a
-    line feed, which no phrase holds, and the language: binary and one column, which is the cheapest to shuffle and to aggregate."""
+    """(key, f): every phrase of every text, added up within a block; ``f`` of the empty phrase is the number of words.  The key is the language, a
+    line feed, which no phrase holds, and the phrase: binary and one column, which is the cheapest to shuffle and to aggregate."""
     schema = pa.schema([("key", pa.binary()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def exploded(docs: DataFrame, max_n: int, lang: str = "lang", text: str = "text"
         def block(language: str) -> Iterator[pa.RecordBatch]:
             size.pop(language)
             for phrases, counts in phrases_of(held.pop(language), max_n):
-                keys = pc.binary_join_element_wise(phrases, language, "\n").cast(pa.binary())
+                keys = pc.binary_join_element_wise(language, phrases, "\n").cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], schema=schema)
 
         for batch in batches:
@@ -99,10 +99,10 @@ def counted(spark: SparkSession, docs: DataFrame, max_n: int, least: int, lang:
     chars = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(quoted(text)))), F.lit(0)).alias("n")).first()["n"]
     # Rows are added up already: they go to their tasks as they are, and are aggregated there.
     dealt = exploded(docs, max_n, lang, text, block_chars).repartition(max(partitions(spark), -(-chars // PART_CHARS)), "key")
-    total = dealt.groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.substring("key", 1, 1) == F.lit(b"\n")))
-    total = total.select("f", F.col("key").cast("string").alias("key")).select("f", "key", F.substring_index("key", "\n", 1).alias("phrase"))
+    total = dealt.groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.substring("key", -1, 1) == F.lit(b"\n")))
+    total = total.select("f", F.col("key").cast("string").alias("key")).select("f", "key", F.substring_index("key", "\n", -1).alias("phrase"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
-    return written(spark, total.select(F.expr("substring(key, length(phrase) + 2)").alias("lang"), "phrase", words.alias("n"), "f"), "collocations")
+    return written(spark, total.select(F.expr("substring(key, 1, length(key) - length(phrase) - 1)").alias("lang"), "phrase", words.alias("n"), "f"), "collocations")
 
 
 def first_words(phrase: Column, k: Column | int) -> Column:
