@@ -33,6 +33,8 @@ PART_CHARS = 12_000_000
 #: Rows of a batch.
 ROWS = 1 << 16
 UNKNOWN = "und"
+#: Shares of a language that are ranked apart before the last ranking.
+SALTS = 64
 # What ends a piece, and what parts the words of one.
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -127,7 +129,10 @@ def collocations(spark: SparkSession, docs: DataFrame, max_n: int = 3, least: in
     parts = longer.select("lang", F.explode(F.array(first_words(F.col("phrase"), F.col("words") - 1), first_words(F.col("phrase"), 1 - F.col("words")))).alias("phrase"), "a")
     holder = parts.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     covered = candidates.join(holder, ["lang", "phrase"]).where(F.col("most").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * inside).select("lang", "phrase")
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = best.join(covered, ["lang", "phrase"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase"))
+    kept = best.join(covered, ["lang", "phrase"], "left_anti").withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
+    # What is not among the best of its salt is not among the best of its language: no task gets more than SALTS times top rows of one.
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = found.where("n = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
