@@ -50,10 +50,11 @@ def phrases_of(texts: list[bytes | None], max_n: int) -> Iterator[tuple[pa.Array
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     ids, distinct, n_words = rank[words.ids], words.distinct.take(pa.array(order)), len(order)
-    before, parts, counts = ids, [np.arange(n_words)], np.bincount(ids, minlength=n_words)
+    piece, before, parts, counts = words.piece, ids, [np.arange(n_words)], np.bincount(ids, minlength=n_words)
+    del words
     for n in range(1, max_n + 1):
         if n > 1:
-            starts = np.flatnonzero(words.piece[: len(ids) - n + 1] == words.piece[n - 1 :])
+            starts = np.flatnonzero(piece[: len(ids) - n + 1] == piece[n - 1 :])
             if not len(starts):
                 return
             keys = before[starts] * n_words + ids[starts + n - 1]

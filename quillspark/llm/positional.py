@@ -35,7 +35,7 @@ from quillspark.llm.common import quoted, tidy, written
 from quillspark.llm.words import Words, classes, column_bytes
 
 #: Bytes of text in a block of the index.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Words of a window.
 SIZE = 10
 # The bytes that are not part of words, all ASCII but digits and letters.
@@ -59,9 +59,12 @@ def index(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text:
             np.cumsum(words.lengths + 1, out=first[1:])
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.string()), pa.array([first], pa.list_(pa.int32())), pa.array([ids], schema.field("ids").type)], schema=schema)
             # The free places are one for each document before.
-            keys = np.sort((words.ids << 32) | (np.arange(len(words)) + words.text))
+            keys = words.ids.astype(np.int64) << 32
+            keys |= np.arange(len(words)) + words.text
+            keys.sort()
             places, ends = (keys & 0xFFFFFFFF).astype(np.int32), np.zeros(len(words.distinct) + 1, np.int32)
             np.cumsum(np.bincount(words.ids, minlength=len(words.distinct)), out=ends[1:])
+            del keys
             for a in range(0, len(words.distinct), 4096):
                 b = min(a + 4096, len(words.distinct))
                 lists = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a]), pa.array(places[ends[a] : ends[b]]))

@@ -19,25 +19,30 @@ def classes(space: bytes, broken: bytes = b"") -> np.ndarray:
 
 class Words:
     """The words of some texts, A-Z in lower case, in order: ``ids`` into ``distinct``, ``text`` (which of the texts) and ``piece`` (words
-    with a break between them differ, those of different texts too)."""
+    with a break between them differ, those of different texts too).  Positions are 32 bits wide: texts of a block have less than 2 GB."""
 
     def __init__(self, texts: list[bytes | None], table: np.ndarray):
         lowered = [(t or b"").lower() for t in texts]
-        ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
+        ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int32)
         data = np.frombuffer(b"\n".join([*lowered, b""]), np.uint8)
+        del lowered
         kind = table[data]
         kind[ends - 1] = BREAK
         inside = kind == INSIDE
-        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
-        offsets = np.zeros(len(starts) + 1, np.int32)
-        np.cumsum(lengths, out=offsets[1:])
-        found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
-        self.ids, self.distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
-        self.piece = np.searchsorted(np.flatnonzero(kind == BREAK), starts)
-        self.text = np.searchsorted(ends, starts, side="right")
+        self._breaks = np.flatnonzero(kind == BREAK).astype(np.int32)
+        del kind
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).astype(np.int32)
+        self._starts, offsets = edges[0::2], np.zeros(len(edges) // 2 + 1, np.int32)
+        np.cumsum(edges[1::2] - edges[0::2], out=offsets[1:])
+        found = pa.StringArray.from_buffers(len(self._starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+        self.ids, self.distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary
+        self.text = np.searchsorted(ends, self._starts, side="right").astype(np.int32)
         self.lengths = np.bincount(self.text, minlength=len(texts))
 
+    @property
+    def piece(self) -> np.ndarray:
+        return np.searchsorted(self._breaks, self._starts).astype(np.int32)
+
     def __len__(self) -> int:
         return len(self.ids)
 
