@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions.text import tokens
 
@@ -53,53 +54,77 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B)
     return wanted.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows of unit length; those that are missing, empty, zero, or hold null or non-finite components become zeros."""
+    if isinstance(column, pa.ListArray) and len(column) and not column.null_count and not column.flatten().null_count and len(set(pa.compute.list_value_length(column).to_pylist())) == 1:
+        x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    else:
+        x = _rows(column)
+    x[~np.isfinite(x).all(axis=1)] = 0.0
+    most = np.abs(x).max(axis=1, keepdims=True, initial=0.0)
+    x = x / np.where(most > 0, most, 1.0)  # very large or small components stay finite
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    lists = column.to_pylist()
+    whole = [bool(r) and None not in r for r in lists]
+    dim = max((len(r) for r, ok in zip(lists, whole, strict=True) if ok), default=1)
+    return np.array([r if ok else [0.0] * dim for r, ok in zip(lists, whole, strict=True)], np.float64).reshape(len(lists), dim)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, filters: tuple[str, ...] = ()) -> DataFrame:
     """queries (qid, vector) against vectors (id, vector): (qid, id, score, rank) of the k nearest by cosine; vectors that are missing, empty,
-    zero, hold null or non-finite components, or have another dimension than the query score 0.
+    zero, hold null or non-finite components, or have another dimension than the query score 0.  Only those count that agree with the query on each
+    of the columns ``filters`` that is not null in the query.
 
     Queries are packed into blocks of ``BLOCK``; each batch of vectors meets each block once, in one product of matrices, and gives
     k candidates a query."""
-    schema = "block int, keys array<long>, data binary"
-
-    def unit(column: pa.Array) -> np.ndarray:
-        lists = column.to_pylist()
-        whole = [bool(r) and None not in r for r in lists]
-        dim = max((len(r) for r, ok in zip(lists, whole, strict=True) if ok), default=1)
-        x = np.array([r if ok else [0.0] * dim for r, ok in zip(lists, whole, strict=True)], np.float64)
-        x[~np.isfinite(x).all(axis=1)] = 0.0
-        most = np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.where(most > 0, most, 1.0)  # very large or small components stay finite
-        norm = np.sqrt((x * x).sum(axis=1))
-        return x / np.where(norm > 0, norm, 1.0)[:, None]
+    kind = queries.schema["qid"].dataType
+    out = pa.schema([("qid", to_arrow_type(kind)), ("id", pa.int64()), ("score", pa.float64())])
 
     def by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(batch.column("vector")), 0))
         for size in np.unique(sizes):
             yield batch.filter(pa.array(sizes == size))
 
-    def packer(key: str):
+    def packed(df: DataFrame, key: str) -> DataFrame:
+        """Rows (keys, tags, data) of up to ``BLOCK`` vectors of one dimension."""
+        fields = pa.schema([("keys", pa.list_(to_arrow_type(df.schema[key].dataType))), ("tags", pa.list_(pa.list_(pa.string()))), ("data", pa.binary())])
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for own in (part for batch in batches for part in by_dimension(batch)):
                 for begin in range(0, own.num_rows, BLOCK):
-                    own_block = own.slice(begin, BLOCK)
-                    yield pa.RecordBatch.from_pydict({"block": [0], "keys": [own_block.column(key).to_pylist()], "data": [unit(own_block.column("vector")).tobytes()]}, pa.schema([("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
+                    some = own.slice(begin, BLOCK)
+                    yield pa.RecordBatch.from_pydict({"keys": [some.column(key).to_pylist()], "tags": [[some.column(f"tag_{c}").to_pylist() for c in filters]], "data": [unit_rows(some.column("vector")).tobytes()]}, fields)
 
-        return pack
+        tagged = df.select(key, "vector", *[F.col(c).cast("string").alias(f"tag_{c}") for c in filters])
+        return tagged.mapInArrow(pack, f"keys array<{df.schema[key].dataType.simpleString()}>, tags array<array<string>>, data binary")
 
-    packed = queries.select("qid", "vector").mapInArrow(packer("qid"), schema).select(F.col("keys").alias("qids"), F.col("data").alias("left"))
-    batches = vectors.select("id", "vector").mapInArrow(packer("id"), schema).select("keys", "data")
+    def agree(wanted: list, own: list) -> np.ndarray:
+        """Which queries a vector passes for, by one column."""
+        codes: dict = {}
+        number = lambda values: np.array([-1 if v is None else codes.setdefault(v, len(codes)) for v in values])
+        left, right = number(wanted), number(own)
+        return (left < 0)[:, None] | (left[:, None] == right)
 
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["left"]).reshape(len(r["qids"]), -1), np.frombuffer(r["data"]).reshape(len(r["keys"]), -1)
                 alike = np.round(x @ y.T, DIGITS) + 0.0 if x.shape[1] == y.shape[1] else np.zeros((len(x), len(y)))
-                scores, keys = alike, np.array(r["keys"])
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"qid": np.repeat(r["qids"], order.shape[1]), "id": keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}, pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-
+                for wanted, own in zip(r["wanted"], r["tags"], strict=True):
+                    alike[~agree(wanted, own)] = -np.inf
+                keys = np.array(r["keys"])
+                order = np.lexsort((np.broadcast_to(keys, alike.shape), -alike), axis=1)[:, :k]
+                scores = np.take_along_axis(alike, order, 1)
+                at, place = np.nonzero(np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array([r["qids"][i] for i in at], out.field("qid").type), pa.array(keys[order[at, place]]), pa.array(scores[at, place])], schema=out)
+
+    asked = packed(queries, "qid").select(F.col("keys").alias("qids"), F.col("tags").alias("wanted"), F.col("data").alias("left"))
     # Blocks of queries against batches of vectors: a row on either side stands for BLOCK of them.
-    return top_k(batches.crossJoin(packed).mapInArrow(search, "qid long, id long, score double"), k)
+    return top_k(packed(vectors, "id").crossJoin(asked).mapInArrow(search, f"qid {kind.simpleString()}, id long, score double"), k)
 
 
 def rrf(branches: list[DataFrame], limit: int, k: int = 2) -> DataFrame:

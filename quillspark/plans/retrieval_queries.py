@@ -169,17 +169,6 @@ def mmr_select(spark, sf):
     return retrieval.mmr(found.join(vectors(spark, sf), "id"), 8)
 
 
-@query()
-def retrieve(spark, sf):
-    """The whole path: hybrid candidates, one per source and language as parent, diversity, prompt context."""
-    found = hybrid(spark, sf, 30).join(chunks(spark, sf), "id")
-    parents = found.withColumns({"parent_id": F.concat_ws("/", "source", "lang"), "parent_text": F.lit("")})
-    kept = retrieval.collapse_parents(parents)
-    ranked = retrieval.top_k(kept.drop("rank"), 20)
-    chosen = retrieval.mmr(ranked.join(vectors(spark, sf), "id").select("qid", "id", "rank", "score", "vector"), 8)
-    return retrieval.context(chosen.join(kept.select("qid", "id", "text", "source"), ["qid", "id"]).select("qid", F.col("place").alias("rank"), "source", "text"))
-
-
 @query(f"WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANK} AS rank FROM bm) WHERE rank <= 3) SELECT qid, string_agg('[' || rank || '] (source: ' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM t JOIN documents ON doc_id = id GROUP BY qid")
 def context_assembly(spark, sf):
     """Prompt contexts of the best three documents."""

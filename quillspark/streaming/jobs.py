@@ -37,6 +37,12 @@ def index_stream(source: DataFrame, transform, sink: str, status: str, checkpoin
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintain(source: DataFrame, index, checkpoint: str, first: int = 0):
+    """Keep a ``LexicalIndex`` up to date with a stream of chunks (id, text): each micro-batch is the batch of the index with its number, counted from
+    ``first``, so what a restart repeats takes its own place."""
+    return source.writeStream.foreachBatch(lambda batch, no: index.add(first + no, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Events of each type by tumbling window of event time, with late data dropped after the watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
