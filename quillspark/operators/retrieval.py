@@ -203,15 +203,15 @@ def gate(hits: DataFrame, least: float) -> DataFrame:
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.6) -> DataFrame:
     """candidates (qid, id, rank, score, vector) to (qid, id, place, score): greedy maximal marginal relevance; all of them, in order,
-    where there are at most k.  A question's candidates are bounded by the ranking before."""
+    where there are at most k.  A candidate without a vector is like no other.  A question's candidates are bounded by the ranking before."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         if len(pdf) <= k:
             return pdf.assign(place=range(1, len(pdf) + 1))[["qid", "id", "place", "score"]]
-        x = np.array(pdf["vector"].tolist(), np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
-        x = x / np.where(norm > 0, norm, 1.0)[:, None]
+        held = [v if v is not None else [] for v in pdf["vector"]]
+        dim = max(map(len, held))
+        x = unit_rows(pa.array([list(v) if len(v) == dim > 0 else [0.0] * max(1, dim) for v in held], pa.list_(pa.float64())))
         score = pdf["score"].to_numpy()
         span = score.max() - score.min() or 1.0
         relevance, chosen, nearest = (score - score.min()) / span, [], np.zeros(len(pdf))

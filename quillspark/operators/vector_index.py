@@ -6,6 +6,10 @@ blocks of the cell's queries in one matrix product each, and keeps the k best of
 shuffled.  Scores are exact; what a search can miss lies in cells that it did not probe.  As many probes as cells give the
 exact result, as does ``retrieval.dense_top_k``.
 
+How many probes a recall takes depends on the data: clusters need few, noise in many dimensions needs most of the cells.  The index measures it when it is built, on
+the sample: for ``JUDGES`` of its rows it finds the ``NEIGHBOURS`` nearest in the sample by brute force, and how far down the row's list of cells theirs stand.
+A search that names a recall gets the probes that reached it.
+
 Bounds: the sample is ``SAMPLE`` rows, chosen by the hash of their ids, and there are at most ``CELLS`` centres, about the square root of the
 rows; both come to the driver.  A cell that holds many rows is many files and many tasks.
 
@@ -30,9 +34,23 @@ from quillspark.operators.retrieval import BLOCK, DIGITS, top_k, unit_rows
 SAMPLE, CELLS = 65_536, 4096
 #: Rounds of the fit.
 ROUNDS = 12
+#: Rows of the sample that the recall is measured with, and neighbours of each.
+JUDGES, NEIGHBOURS = 512, 20
 RESERVED = ("cell",)
 
 
+def recall_curve(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The recall of 1, 2, ... probes among rows ``x`` of unit length."""
+    own = (x @ centres.T).argmax(axis=1)
+    found = np.zeros(len(centres))
+    for row in x[: min(JUDGES, len(x))]:
+        near = np.argsort(-(x @ row), kind="stable")[:NEIGHBOURS]
+        place = np.empty(len(centres), np.int64)
+        place[np.argsort(-(centres @ row), kind="stable")] = np.arange(len(centres))
+        found += np.bincount(place[own[near]], minlength=len(centres)) / len(near)
+    return found.cumsum() / max(1, min(JUDGES, len(x)))
+
+
 def fit_centres(x: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Centres of unit length by spherical k-means; an empty cell starts anew at the row that is worst served."""
     rng = np.random.default_rng(seed)
@@ -54,10 +72,10 @@ def cells_for(rows: int) -> int:
 
 
 class VectorIndex:
-    """``centres`` and the folder of rows: id, vector, the columns for filters, and ``cell``."""
+    """``centres``, the recall of 1, 2, ... probes, and the folder of rows: id, vector, the columns for filters, and ``cell``."""
 
-    def __init__(self, spark: SparkSession, path: str, centres: np.ndarray):
-        self.spark, self.path, self.centres = spark, path, centres
+    def __init__(self, spark: SparkSession, path: str, centres: np.ndarray, recall: np.ndarray):
+        self.spark, self.path, self.centres, self.recall = spark, path, centres, recall
 
     @staticmethod
     def build(spark: SparkSession, vectors: DataFrame, path: str, cells: int | None = None) -> VectorIndex:
@@ -72,16 +90,20 @@ class VectorIndex:
         x = unit_rows(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
         x = x[np.abs(x).sum(axis=1) > 0]
         centres = fit_centres(x, cells or cells_for(rows)) if len(x) else np.zeros((0, dimension["d"] if dimension else 0))
-        index = VectorIndex(spark, path, centres)
+        index = VectorIndex(spark, path, centres, recall_curve(x, centres))
         # What a cell holds is gathered, and parted again where it is large.
         index.assigned(vectors).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-        spark.createDataFrame([(no, c.tolist()) for no, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        spark.createDataFrame([(no, c.tolist(), float(r)) for no, (c, r) in enumerate(zip(centres, index.recall, strict=True))], "cell int, centre array<double>, recall double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
         return index
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> VectorIndex:
         rows = sorted(spark.read.parquet(f"{path}/centres").collect(), key=lambda r: r["cell"])
-        return VectorIndex(spark, path, np.array([r["centre"] for r in rows], np.float64).reshape(len(rows), -1))
+        return VectorIndex(spark, path, np.array([r["centre"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["recall"] for r in rows], np.float64))
+
+    def probes_for(self, recall: float) -> int:
+        """The fewest probes that reached a recall on the sample."""
+        return int(np.argmax(self.recall >= recall - 1e-12)) + 1 if (self.recall >= recall - 1e-12).any() else len(self.centres)
 
     def add(self, vectors: DataFrame) -> None:
         """Index more rows with the centres there are."""
@@ -118,8 +140,10 @@ class VectorIndex:
         # A salt bounds the queries that are packed together.
         return sent.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(64))).groupBy("cell", "salt").applyInArrow(lambda t: pack(t.select(["cell", "qid", "vector"])), "cell int, qids array<long>, left binary")
 
-    def search(self, queries: DataFrame, k: int, probes: int, where: Column | str | None = None) -> DataFrame:
-        """queries (qid, vector) to (qid, id, score, rank): the k most similar of the rows that pass ``where`` and lie in a probed cell."""
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, recall: float = 0.95, where: Column | str | None = None) -> DataFrame:
+        """queries (qid, vector) to (qid, id, score, rank): the k most similar of the rows that pass ``where`` and lie in a probed cell: one of
+        ``probes``, or of as many as ``recall`` takes."""
+        probes = self.probes_for(recall) if probes is None else probes
         rows = self.spark.read.parquet(f"{self.path}/rows") if len(self.centres) else None
         if rows is None:
             return self.spark.createDataFrame([], "qid long, id long, score double, rank int")

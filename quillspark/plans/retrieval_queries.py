@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -169,6 +171,17 @@ def mmr_select(spark, sf):
     return retrieval.mmr(found.join(vectors(spark, sf), "id"), 8)
 
 
+@query()
+def hybrid_context(spark, sf):
+    """Hybrid candidates, one per source and language as parent, diversity, prompt context."""
+    found = hybrid(spark, sf, 30).join(chunks(spark, sf), "id")
+    parents = found.withColumns({"parent_id": F.concat_ws("/", "source", "lang"), "parent_text": F.lit("")})
+    kept = retrieval.collapse_parents(parents)
+    ranked = retrieval.top_k(kept.drop("rank"), 20)
+    chosen = retrieval.mmr(ranked.join(vectors(spark, sf), "id").select("qid", "id", "rank", "score", "vector"), 8)
+    return retrieval.context(chosen.join(kept.select("qid", "id", "text", "source"), ["qid", "id"]).select("qid", F.col("place").alias("rank"), "source", "text"))
+
+
 @query(f"WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANK} AS rank FROM bm) WHERE rank <= 3) SELECT qid, string_agg('[' || rank || '] (source: ' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM t JOIN documents ON doc_id = id GROUP BY qid")
 def context_assembly(spark, sf):
     """Prompt contexts of the best three documents."""
@@ -373,28 +386,41 @@ def chunk_markdown(spark, sf):
     return chunking.chunk(docs)
 
 
-QUESTIONS = ("doanh thu thuần năm 2023 là bao nhiêu", "tổng tài sản cuối kỳ", "doanh thu và tổng tài sản", "xem thuyết minh 12 về tiền mặt", "lợi nhuận năm 2022", "doanh thu giai đoạn 2021-2024", "DÒNG TIỀN từ 2021 đến 2023", "chi phí 2021 và 2023", "lợi nhuận qua các năm", "trend of revenue each year from 2022", "Mục lục", "")
-_VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+#: What questions made of orders are about, and how they name the time; Y is the order's year, 25 years on.
+ABOUT = ("doanh thu thuần", "tổng tài sản", "doanh thu và tổng tài sản", "xem thuyết minh số 12 về tiền", "lợi nhuận sau thuế", "DÒNG TIỀN", "Mục lục", "Nợ phải trả")
+TIMES = (" năm {0}", " giai đoạn {0}-{3}", " từ {0} đến {2}", " {2} và {0}", " qua các năm", "", " {3} đến {0}", " each year from {1}")
+_Y = "(year(o_orderdate) + 25)"
+_ABOUT = f"CASE o_custkey % 8 {' '.join(f'WHEN {i} THEN {chr(39)}{a}{chr(39)}' for i, a in enumerate(ABOUT))} END"
+_TIME = f"CASE o_orderkey % 8 {' '.join(f'WHEN {i} THEN {chr(39)}' + t.format(*(f'{chr(39)} || ({_Y} + {n}) || {chr(39)}' for n in range(4))) + chr(39) for i, t in enumerate(TIMES))} END"
+_ASKED = f"t AS (SELECT o_orderkey AS qid, {_ABOUT} || {_TIME} AS q FROM orders)"
 _ANY = {code: "regexp_matches(q, '(?i)(" + "|".join(p.replace("\\b", "") for p in patterns) + ")')" for code, patterns in sections.TOPICS}
 
 
-def asked_inline(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
+def asked_of_orders(spark, sf) -> DataFrame:
+    """A question for each order."""
+    y = F.year("o_orderdate") + 25
+    pieces = lambda t: F.concat(*[(y + int(p)).cast("string") if p.isdigit() and len(p) == 1 else F.lit(p) for p in re.split(r"[{}]", t)])
+    pick = lambda key, values: F.coalesce(*[F.when(F.col(key) % len(values) == i, v) for i, v in enumerate(values)])
+    question = F.concat(pick("o_custkey", [F.lit(a) for a in ABOUT]), pick("o_orderkey", [pieces(t) for t in TIMES]))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), question.alias("question"), y.alias("y"))
 
 
-@query(f"""WITH t(qid, q) AS (VALUES {_VALUES}), f AS (SELECT qid::BIGINT AS qid, q, {', '.join(f'{v}::INT AS {k}' for k, v in _ANY.items())}, try_cast(nullif(regexp_extract(lower(q), 'thuy[eế]t\\s*minh\\s*(?:s[oố]\\s*)?(\\d{{1,3}})', 1), '') AS BIGINT) AS note_no FROM t)
-SELECT qid, CASE WHEN note_no IS NOT NULL THEN 'thuyet_minh' WHEN cdkt + kqkd + lctt <> 1 THEN '' WHEN cdkt = 1 THEN 'cdkt' WHEN kqkd = 1 THEN 'kqkd' ELSE 'lctt' END AS statement_type, note_no, try_cast(nullif(regexp_extract(q, '((?:19|20)\\d{{2}})', 1), '') AS BIGINT) AS year FROM f""".replace("\\\\", "\\"))
+@query(rf"""WITH {_ASKED}, f AS (SELECT qid, q, {', '.join(f'{v}::INT AS {k}' for k, v in _ANY.items())}, try_cast(nullif(regexp_extract(lower(q), 'thuy[eế]t\s*minh\s*(?:s[oố]\s*)?(\d{{1,3}})', 1), '') AS BIGINT) AS note_no FROM t)
+SELECT qid, CASE WHEN note_no IS NOT NULL THEN 'thuyet_minh' WHEN cdkt + kqkd + lctt <> 1 THEN '' WHEN cdkt = 1 THEN 'cdkt' WHEN kqkd = 1 THEN 'kqkd' ELSE 'lctt' END AS statement_type, note_no, try_cast(nullif(regexp_extract(q, '((?:19|20)\d{{2}})', 1), '') AS BIGINT) AS year FROM f""")
 def route_questions(spark, sf):
-    """Statement, note and year that a question is about."""
-    return sections.with_route(asked_inline(spark)).select("qid", "statement_type", "note_no", "year")
+    """Statement, note and year that each question made of an order is about."""
+    return sections.with_route(asked_of_orders(spark, sf)).select("qid", "statement_type", "note_no", "year")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, ''), (1, ''), (2, ''), (3, ''), (4, ''), (5, '2021 2022 2023 2024'), (6, '2021 2022 2023'), (7, '2021 2023'), (8, '1995 1996 1997 1998 1999 2000 2001'), (9, '1995 1996 1997 1998 1999 2000 2001'), (10, ''), (11, '')) t(qid, periods)")
+@query(rf"""WITH {_ASKED}, known AS (SELECT list_sort(list(DISTINCT {_Y}::BIGINT)) AS known FROM orders),
+y AS (SELECT qid, q, known, list_sort(list_distinct(list_transform(regexp_extract_all(q, '(?:19|20)\d\d'), lambda x: x::BIGINT))) AS ys, regexp_extract(q, '(20\d\d)\s*(?:-|đến)\s*(20\d\d)', ['lo', 'hi']) AS span FROM t CROSS JOIN known),
+s AS (SELECT *, try_cast(span.lo AS BIGINT) AS lo, try_cast(span.hi AS BIGINT) AS hi FROM y)
+SELECT qid, array_to_string(CASE WHEN lo <= hi AND hi - lo <= 30 THEN range(lo, hi + 1) WHEN len(ys) >= 2 THEN ys WHEN regexp_matches(q, 'qua các năm|giai đoạn|each year') THEN list_filter(known, lambda x: x >= coalesce(least(ys[1], known[1]), known[1])) ELSE [] END, ' ') AS periods FROM s""")
 def detect_periods(spark, sf):
-    """Years that a question spans; the known ones are those of the orders."""
-    known = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).agg(F.array_sort(F.collect_set("y")).alias("known"))
-    df = asked_inline(spark).crossJoin(known)  # one row
-    return df.select("qid", F.array_join(sections.periods(F.col("question"), F.col("known")).cast("array<string>"), " ").alias("periods"))
+    """Years that each of these questions spans; the known ones are those of the orders."""
+    df = asked_of_orders(spark, sf)
+    known = df.agg(F.array_sort(F.collect_set("y")).alias("known"))
+    return df.crossJoin(known).select("qid", F.array_join(sections.periods(F.col("question"), F.col("known")).cast("array<string>"), " ").alias("periods"))  # one row
 
 
 @query("SELECT conv_id, turn, role, text, CAST(count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6")

@@ -151,7 +151,7 @@ def test_mmr_select(spark, data):
     assert got == want
 
 
-def test_retrieve(spark, data):
+def test_hybrid_context(spark, data):
     vectors = {r["id"]: r["vector"] for r in retrieval_queries.vectors(spark, data).collect()}
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     want = {}
@@ -163,7 +163,7 @@ def test_retrieve(spark, data):
         best = sorted(first.values(), key=lambda x: (-x[1], x[0]))[:20]
         chosen = plain_mmr([(i, s) for i, s in best if i in vectors], vectors, 8)
         want[q] = "\n\n".join(f"[{n}] (source: {docs[i]['source']})\n{(docs[i]['text'] or '')[:4000]}" for n, i in enumerate(chosen, 1))
-    assert {r["qid"]: r["context"] for r in QUERIES["retrieve"](spark, data).collect()} == want
+    assert {r["qid"]: r["context"] for r in QUERIES["hybrid_context"](spark, data).collect()} == want
 
 
 def canon(token):
