@@ -20,15 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def discover(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, kind, size) of files of known kinds within the size limit, without reading them."""
+    """(path, name, kind, size, error) of every file, without reading it.  ``error`` says why a file is not taken: a kind that is not known, or a size
+    beyond the limit; null for those that are."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), file_kind(name).alias("kind"), F.col("length").alias("size")).where(F.col("kind").isNotNull() & (F.col("size") <= MOST_BYTES))
+    found = files.select("path", name.alias("name"), file_kind(name).alias("kind"), F.col("length").alias("size"))
+    ending = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    unknown = F.concat(F.lit("Unsupported file type: "), F.coalesce(F.nullif(ending, F.lit("")), F.lit("(none)")))
+    large = F.concat(F.lit("File too large: "), F.col("size").cast("string"), F.lit(f" of {MOST_BYTES} bytes"))
+    return found.withColumn("error", F.when(F.col("kind").isNull(), unknown).when(F.col("size") > MOST_BYTES, large))
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, text, error) of every file under a path: Markdown and JSON as text, PDF without one until its pages are read, others with the error that
+    ``discover`` has for them."""
+    found = discover(spark, path)
+    texts = markdown(spark, path).select("name", F.lit("md").alias("kind"), "text").unionByName(json_documents(spark, path).select(F.concat("name", F.lit(".json")).alias("name"), F.lit("json").alias("kind"), "text"))
+    return found.join(texts, ["name", "kind"], "left").select("name", "kind", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(name, text), a row for each Markdown file."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown}").select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -101,6 +101,35 @@ def write_evaluation(items: DataFrame, totals: DataFrame, path: str, title: str
     return markdown
 
 
+#: What the report of a page comparison shows: rows of the head, and columns of a page.
+PAGE_HEAD = (("Char accuracy (1-CER)", "char_accuracy"), ("CER", "cer"), ("WER", "wer"), ("Word F1", "word_f1"), ("Number F1 (macro)", "number_f1"))
+PAGE_COLUMNS = ("char_accuracy", "cer", "wer", "word_f1", "number_f1")
+
+
+def write_page_report(scored: DataFrame, path: str, title: str = "Pages", skipped: int = 0) -> dict:
+    """What ``evaluation.pages`` gives as ``path``/aggregate (JSON: macro means, micro precision, recall and F1 of words and numbers), ``path``/per_page
+    (JSON lines) and ``path``/report: Markdown files in order, the head first, then a line for each page, all of them.  The aggregate is also returned."""
+    spark = scored.sparkSession
+    total = lambda c: F.sum(c).cast("double")
+    micro = [F.round(F.coalesce(total(f"{k}_shared") / F.nullif(total(n), F.lit(0.0)), F.lit(0.0)), 4).alias(f"micro_{k[:-1]}_{what}") for k in ("words", "numbers") for what, n in (("precision", f"n_{k}"), ("recall", f"n_gold_{k}"))]
+    counts = [F.sum("numbers_shared").alias("numbers_matched"), F.sum("n_gold_numbers").alias("numbers_gold")]
+    found = scored.agg(F.count("*").alias("pages_scored"), *[F.round(F.avg(c), 4).alias(f"macro_{c}") for _, c in PAGE_HEAD], *micro, *counts).first().asDict()
+    found = {"title": title, "pages_skipped": skipped, **{k: 0 if v is None else v for k, v in found.items()}}
+    for k in ("word", "number"):
+        p, r = found[f"micro_{k}_precision"], found[f"micro_{k}_recall"]
+        found[f"micro_{k}_f1"] = round(2 * p * r / (p + r), 4) if p + r else 0.0
+    share = lambda x: f"{x:.2%}"
+    head = [f"# {title}", f"Pages scored: {found['pages_scored']} | skipped: {skipped}", "", "## Aggregate", *pipe_lines(["Metric", "Value"], [[label, share(found[f"macro_{c}"])] for label, c in PAGE_HEAD])]
+    head += [f"| Number P/R (micro) | {share(found['micro_number_precision'])} / {share(found['micro_number_recall'])} ({found['numbers_matched']}/{found['numbers_gold']}) |", "", "## Per page", *pipe_lines(["Page", "CharAcc", "CER", "WER", "WordF1", "NumF1", "Num matched"], [])]
+    spark.createDataFrame([(json.dumps(found, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/aggregate")
+    scored.orderBy("page").write.mode("overwrite").json(f"{path}/per_page")
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report/0_head")
+    cells = [F.col("page").cast("string"), *[F.format_string("%.2f%%", F.col(c).cast("double") * 100) for c in PAGE_COLUMNS], F.concat_ws("/", F.col("numbers_shared").cast("string"), F.col("n_gold_numbers").cast("string"))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
+    scored.orderBy("page").select(line.alias("value")).write.mode("overwrite").text(f"{path}/report/1_pages")
+    return found
+
+
 def batch_report(results: DataFrame) -> DataFrame:
     """results (name, page_no, text, seconds, error), a row for each page, to a row for each document: name, pages, characters, seconds,
     failed pages and status."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import metrics, numbers, text
-from quillspark.operators import retrieval, sessions, tables
+from quillspark.operators import evaluation, retrieval, sessions, tables
 from quillspark.sources import readers, writers
 
 
@@ -143,6 +143,36 @@ def test_files(spark, tmp_path):
     assert found["doc.md"] == "md" and found["bad.json"] == "json"
 
 
+def test_files_that_are_not_taken_carry_an_error(spark, tmp_path, monkeypatch):
+    for name, text in (("a.md", "# A"), ("b.markdown", "B"), ("c.JSON", '{"k": 1}'), ("d.json", '{"k": 1}'), ("e.exe", "x"), ("noext", "x"), ("f.tar.gz", "x"), ("long.md", "y" * 50)):
+        (tmp_path / name).write_text(text)
+    monkeypatch.setattr(readers, "MOST_BYTES", 20)
+    got = {r["name"]: (r["kind"], r["error"]) for r in readers.discover(spark, str(tmp_path)).collect()}
+    assert got["a.md"] == ("md", None) and got["b.markdown"] == ("md", None) and got["c.JSON"] == ("json", None)
+    assert got["e.exe"] == (None, "Unsupported file type: .exe") and got["noext"] == (None, "Unsupported file type: (none)") and got["f.tar.gz"][1] == "Unsupported file type: .gz"
+    assert got["long.md"] == ("md", "File too large: 50 of 20 bytes")
+    texts = {r["name"]: (r["text"], r["error"] is None) for r in readers.documents(spark, str(tmp_path)).collect()}
+    assert len(texts) == 8 and texts["a.md"] == ("# A", True) and texts["b.markdown"] == ("B", True) and texts["d.json"][0].startswith("# d") and texts["e.exe"] == (None, False) and texts["long.md"] == (None, False)
+
+
+def test_page_report(spark, tmp_path):
+    pairs = spark.createDataFrame([("p1", "Tổng 1.234 và 5", "Tổng 1.234 và 6"), ("p2", "same text 7", "same text 7"), ("p3", "", "lost 8")], "page string, pred string, gold string")
+    scored = evaluation.pages(pairs)
+    rows = {r["page"]: r for r in scored.collect()}
+    got = writers.write_page_report(scored, str(tmp_path / "out"), "Trial", skipped=2)
+    shared, predicted, gold = (sum(r[c] for r in rows.values()) for c in ("numbers_shared", "n_numbers", "n_gold_numbers"))
+    assert (got["numbers_matched"], got["numbers_gold"], got["pages_scored"], got["pages_skipped"]) == (shared, gold, 3, 2)
+    assert got["micro_number_precision"] == round(shared / predicted, 4) and got["micro_number_recall"] == round(shared / gold, 4)
+    assert got["macro_cer"] == round(sum(r["cer"] for r in rows.values()) / 3, 4)
+    head = spark.read.text(f"{tmp_path}/out/report/0_head", wholetext=True).first()["value"]
+    assert head.startswith("# Trial\nPages scored: 3 | skipped: 2") and f"({shared}/{gold}) |" in head
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out/report/1_pages").collect())
+    assert len(lines) == 3 and lines[1] == "| p2 | 100.00% | 0.00% | 0.00% | 100.00% | 100.00% | 1/1 |"
+    assert spark.read.json(f"{tmp_path}/out/per_page").count() == 3
+    none = writers.write_page_report(scored.limit(0), str(tmp_path / "none"))
+    assert none["pages_scored"] == 0 and none["micro_word_f1"] == 0.0
+
+
 def test_pages_isolate_failures_and_merge(spark):
     df = spark.createDataFrame([("a", b"one|two"), ("b", b"bad"), ("c", b" |x")], "path string, content binary")
 
