@@ -82,7 +82,9 @@ def sample(docs: DataFrame, labels: DataFrame, training: Column, per_class: int
     first = [likely.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
     chosen = first[0].union(first[1]).select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("order"), F.lit(5)) == 0).cast("int").alias("fold"))
     # At most 2 * per_class rows of three numbers.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Of rows that share an id one is read: the bound is one of rows, too.
+    found = found.groupBy("doc_id", "toxic", "fold").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("first.text", "toxic", "fold")
     return found, {k: max(1.0, n / per_class) for k, n in count.items()}
 
 
