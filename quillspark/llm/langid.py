@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import quoted, written
 
 #: Documents of each language that the model learns from, at most.
 PER_LANGUAGE = 3000
@@ -118,11 +118,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     count = docs.groupBy("lang").agg(F.count("*").alias("n"))
     order = F.xxhash64("id", F.lit("langid"))
     # A row for each language: the model itself holds a column for each.
-    likely = docs.select("lang", "id", order.alias("order")).join(F.broadcast(count), "lang")
+    likely = docs.select("lang", "id", order.alias("order"), F.xxhash64("text").alias("h")).join(F.broadcast(count), "lang")
     likely = likely.where(F.pmod("order", F.lit(1_000_000)) < 1_300_000.0 * per_language / F.col("n"))
+    # Of rows that share an id one is read, however many there are.
+    likely = likely.groupBy("lang", "id", "order").agg(F.min("h").alias("h"))
     chosen = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("rank") <= per_language)
-    # At most per_language rows a language, of an id each.
-    return docs.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("text", "lang")
+    # At most per_language rows a language.
+    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen.select("id", "lang", "h")), ["id", "lang", "h"])
+    return found.groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
 
 def fit(spark: SparkSession, texts: DataFrame) -> Model:
@@ -159,12 +162,14 @@ def fit(spark: SparkSession, texts: DataFrame) -> Model:
 def with_language(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``columns`` of docs, lang_pred and score."""
     shipped = spark.sparkContext.broadcast(model)
-    read = [*columns, *(["text"] if "text" not in columns else [])]
+    # The reader of batches takes no name with a dot.
+    own = [f"c{i}" for i in range(len(columns))]
+    read = docs.select(*[F.col(quoted(c)).alias(o) for c, o in zip(columns, own, strict=True)], F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(o) for o in own), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*read).mapInArrow(run, docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
+    return read.mapInArrow(run, docs.select(*map(quoted, columns)).schema.add("lang_pred", "string").add("score", "double"))
