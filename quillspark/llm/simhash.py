@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import HOT, ascii_lower, join_hot, partitions, tidy, written
+from quillspark.llm.common import HOT, ascii_lower, fresh, join_hot, partitions, tidy, written
 from quillspark.llm.components import components
 
 #: Fingerprints of one top node that one task holds.
@@ -69,14 +69,14 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, columns: list[str], shingle: int = 4) -> DataFrame:
     """``columns`` of docs and fp, the fingerprint as a signed long."""
-    fields = docs.select(*columns).schema
+    fields, own = docs.select(*columns).schema, fresh("text", columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(ascii_lower(t), shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(ascii_lower(t), shingle) for t in batch.column(own).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.int64())], names=[*columns, "fp"])
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(tidy(run), fields.add("fp", "long"))
+    return docs.select(*columns, F.col("text").alias(own)).mapInArrow(tidy(run), fields.add("fp", "long"))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
