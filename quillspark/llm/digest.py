@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,22 +86,38 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cuts = sorted((c, LEAST + i * (2**64 // m)) for c, m in repeats.items() for i in range(m))
     if hot:
         # A range begins with its least row, and an empty range is none.
-        cuts = sorted(tuple(r["at"]) for r in rows.groupBy(range_of(cuts).alias("own")).agg(F.min("at").alias("at")).collect())
-    rows = rows.withColumn("own", range_of(cuts))
-    begins = F.element_at(places_of(cuts), (F.col("own") + 1).cast("int")) == F.col("at")
+        found = rows.groupBy(F.shiftright(placed(cuts), 1).alias("own")).agg(F.min("at").alias("at"))
+        cuts = sorted(tuple(r["at"]) for r in found.collect())
+    rows = rows.withColumn("found", placed(cuts)).withColumns({"own": F.shiftright("found", 1), "begins": F.col("found") % 2 == 1})
     own, before = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))).alias("bucket"), F.lit(1).alias("tail"))
-    rows = rows.select("doc_id", "text", "k", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own))).alias("place")).select("doc_id", "text", "k", "place.bucket", "place.tail")
-    return rows.repartitionById(max(1, len(cuts)), F.col("bucket")).sortWithinPartitions("bucket", "tail", "k", F.xxhash64("text"))
-
-
-def places_of(cuts: list[tuple[int, int]]) -> Column:
-    """Where ranges begin: pairs of an id and a text's hash."""
-    return F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in cuts])
-
-
-def range_of(cuts: list[tuple[int, int]]) -> Column:
-    """Number of the range that a row's ``at`` lies in."""
-    return F.size(F.filter(places_of(cuts), lambda c: c <= F.col("at"))) - 1 if cuts else F.lit(0)
+    rows = rows.select("doc_id", "text", "k", F.explode(F.when(F.col("begins"), F.array(own, before)).otherwise(F.array(own))).alias("place")).select("doc_id", "text", "k", "place.bucket", "place.tail")
+    return rows.repartitionById(max(1, len(cuts)), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", "k", F.xxhash64("text"))
+
+
+def places(cuts: np.ndarray, hashes: np.ndarray, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Twice the number of the range that (k, h) lies in, and 1 more if the range begins with it.  Ranges begin at (cuts, hashes), sorted: a search by halving,
+    so a row's work hardly grows with their number."""
+    low, high = np.searchsorted(cuts, k, "left"), np.searchsorted(cuts, k, "right")
+    at = high.copy()
+    shared = np.flatnonzero(high > low)  # rows whose id some range begins with
+    for i in np.unique(low[shared]):
+        own = shared[low[shared] == i]
+        at[own] = i + np.searchsorted(hashes[i : high[own[0]]], h[own], "right")
+    at = np.maximum(at - 1, 0)
+    return at * 2 + ((cuts[at] == k) & (hashes[at] == h))
+
+
+def placed(cuts: list[tuple[int, int]]) -> Column:
+    """``places`` of a row's ``at``."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    first, second = (np.array(c, np.int64) for c in zip(*cuts, strict=True))
+
+    @F.pandas_udf("long")
+    def find(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(places(first, second, k.to_numpy(), h.to_numpy()))
+
+    return find(F.col("at.k"), F.col("at.h"))
 
 
 def edited(text: str, following: str) -> str:
