@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import text as texts
-from quillspark.operators import models, validation
+from quillspark.operators import chunking, models, validation
 from quillspark.plans import evaluation_queries, retrieval_queries
 from quillspark.sources import readers, writers
 
@@ -100,6 +101,142 @@ def test_window_chunks(spark, data):
     assert Counter(map(tuple, QUERIES["window_chunks"](spark, data).collect())) == want
 
 
+def plain_prose(value, room, overlap=250):
+    pieces, open_ = [], []
+    for p in [p.strip() for p in re.split(r"\n{2,}", value) if p.strip()]:
+        if len(p) <= room and open_ and len("\n\n".join([*open_, p])) <= room:
+            open_.append(p)
+            continue
+        pieces += ["\n\n".join(open_)] if open_ else []
+        open_ = [p] if len(p) <= room else []
+        pieces += plain_windows(p, room, overlap) if len(p) > room else []
+    return pieces + (["\n\n".join(open_)] if open_ else [])
+
+
+def plain_blocks(text):
+    """(kind, page, heading, caption, unit, lines) of each block, line after line."""
+    lines, found, page, unit, caption, crumbs = re.sub("\r\n?", "\n", text).split("\n"), [], None, None, None, {}
+    for line in lines:
+        mark, head, bare = re.search(r"(?i)<!--\s*=+\s*page\s+(\d+)\s*=+\s*-->", line), re.match(r"(#{1,6})\s+(.*)$", line), line.strip(" \t\n\r\f\x0b")
+        if mark:
+            page, kind = int(mark[1]), "page"
+        elif head:
+            kind, caption = "heading", head[2].strip(" \t\n\r\f\x0b")
+            crumbs = {**{n: t for n, t in crumbs.items() if n < len(head[1])}, len(head[1]): caption}
+        elif bare.startswith("|") and line.count("|") >= 2:
+            kind = "table"
+        else:
+            kind, named = "text", re.search(r"(?i)(?:đơn\s*vị\s*tính|unit)\s*[:.]?\s*.+", line)
+            unit, caption = named[0].strip() if named else unit, bare or caption
+        found.append([kind, page, " > ".join(crumbs[n] for n in sorted(crumbs)), caption, unit, line])
+    for i, own in enumerate(found):
+        if own[0] == "table" and not any(0 <= j < len(found) and found[j][0] in ("table", "was") for j in (i - 1, i + 1)):
+            own[0] = "lone"
+    blocks = []
+    before = None
+    for kind, *rest, line in found:
+        kind = "text" if kind == "lone" else kind
+        if kind in ("table", "text"):
+            if kind == before:
+                blocks[-1][-1].append(line)
+            else:
+                blocks.append([kind, *rest, [line]])
+        before = kind
+    return [b for b in blocks if b[0] == "table" or any(x.strip() for x in b[-1])]
+
+
+def plain_chunks(doc_id, text, context, year, size=1800, overlap=250):
+    from quillspark.operators import sections
+
+    blocks, known, rows = plain_blocks(text), {}, []
+
+    def register(crumb):
+        if crumb not in known:
+            above, inside, leaf = crumb.rpartition(" > ")
+            parent = register(above) if inside else ("", "", None)
+            kind = next((code for code, patterns in sections.HEADINGS if any(re.search(p, crumb, re.I) for p in patterns)), "")
+            note = re.search(sections.NOTE_HEADING, leaf, re.I) if kind == "thuyet_minh" else None
+            known[crumb] = (f"{doc_id}:s{len(known) + 1}", parent[0], kind, int(note[1]) if note else None)
+        return known[crumb]
+
+    prose = {}
+    for kind, _, heading, *_, lines in blocks:
+        register(heading)
+        if kind == "text":
+            prose.setdefault(heading, []).append("\n".join(lines).strip())
+    whole = {h: "\n\n".join(p) for h, p in prose.items()}
+    tables = 0
+    for kind, page, heading, caption, unit, lines in blocks:
+        section_id, parent_section, statement, note = known[heading]
+        prefix = "\n".join(p for p in ((context or "").strip(), heading) if p)
+        room = max(size - len(prefix), 200)
+        value_kind, parent_id, parent_text = "", "", ""
+        if kind == "text":
+            pieces = plain_prose("\n".join(lines), room, overlap)
+            if len(whole[heading]) <= 4000:
+                parent_id, parent_text = section_id, whole[heading]
+        else:
+            tables += 1
+            all_of_it = "\n".join(lines)
+            has = lambda p: re.search(p, all_of_it, re.I)
+            flow, balance = has(r"năm\s*nay") and has(r"năm\s*trước"), has(r"số\s*cuối\s*(năm|kỳ)") and has(r"số\s*đầu\s*(năm|kỳ)")
+            value_kind = "flow" if flow else "balance" if balance else ""
+            if year is not None and flow:
+                lines = [re.sub(r"(?i)năm\s*trước", f"Năm trước ({year - 1})", re.sub(r"(?i)năm\s*nay", f"Năm nay ({year})", x)) for x in lines]
+            if year is not None and balance:
+                lines = [re.sub(r"(?i)số\s*đầu\s*(năm|kỳ)", rf"Số đầu \1 ({year - 1})", re.sub(r"(?i)số\s*cuối\s*(năm|kỳ)", rf"Số cuối \1 ({year})", x)) for x in lines]
+            notes = {"flow": chunking.FLOW_NOTE, "balance": chunking.BALANCE_NOTE}
+            said, top = [], "\n".join(lines[:2])
+            for part in (caption, unit, notes[value_kind].format(year, year - 1) if value_kind and year is not None else ""):
+                if part and part not in top and part not in heading and not any(part in s or s in part for s in said):
+                    said.append(part)
+            above = [" — ".join(said)] if said else []
+            n = 2 if len(lines) > 1 and re.match(r"\s*\|?\s*:?-{2,}", lines[1]) else 1
+            head, groups = "\n".join(above + lines[:n]), []
+            for row in lines[n:]:
+                if groups and len("\n".join([*groups[-1], row])) <= max(room - len(head), 200) - 1:
+                    groups[-1].append(row)
+                else:
+                    groups.append([row])
+            pieces = ["\n".join([head, *g]) for g in groups] or [head]
+            parent_id, parent_text = f"{doc_id}:t{tables}", "\n".join(above + lines)
+        rows += [(str(doc_id), len(rows) + i, page, heading, f"{prefix}\n\n{p}" if prefix else p, parent_id, parent_text, statement, note, section_id, parent_section, year, value_kind) for i, p in enumerate(pieces)]
+    return rows
+
+
+def chunk_rows(df):
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r["doc_id"], r["ordinal"])):
+        got.setdefault(r["doc_id"], []).append(tuple(r))
+    return got
+
+
+def same_chunks(got, want):
+    assert set(got) == set(want)
+    for doc_id, rows in want.items():
+        assert len(got[doc_id]) == len(rows), doc_id
+        for a, b in zip(got[doc_id], rows):
+            assert a == b
+
+
+def test_chunk_statements_column_by_column(spark, data):
+    made = retrieval_queries.statements(spark, data).collect()
+    want = {str(r["doc_id"]): plain_chunks(*r) for r in made}
+    assert {x[12] for rows in want.values() for x in rows} == {"", "flow", "balance"} and {x[7] for rows in want.values() for x in rows} >= {"kqkd", "cdkt", "thuyet_minh", ""}
+    same_chunks(chunk_rows(QUERIES["chunk_statements"](spark, data)), want)
+
+
+def test_chunks_of_random_structures(spark):
+    rng = random.Random(11)
+    lines = ["# Thuyết minh báo cáo", "## 5. Tiền", "### V.7 Hàng", "###### tiny", "#no heading", "# ", "| a | b |", "|---|---|", "| 1 | 2 |", "  | x | y |", "|lone", "", "", "  ", "Đơn vị tính: VND", "unit. USD ", "prose. And more " * 9, "năm nay", "| Năm  nay | năm trước |", "| Số cuối kỳ | SỐ ĐẦU NĂM |", "<!-- === page 3 === -->", "<!--=PAGE 12=-->x", "## Lưu chuyển tiền tệ", "w" * 450, "long words " * 60, "\tindent\r", "Balance sheet"]
+    docs = [(f"d{i}", "\n".join(rng.choices(lines, k=rng.randint(0, 45))), rng.choice(["", "ctx", None, " two words "]), rng.choice([None, 2022])) for i in range(120)]
+    docs += [("none", None, None, None), ("blank", "\n \n", "c", 2020)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, doc_context string, year int").repartition(4)
+    for size in (1800, 300):
+        want = {d: rows for d, text, context, year in docs if (rows := plain_chunks(d, text or "", context, year, size))}
+        same_chunks(chunk_rows(chunking.chunk(df, size)), want)
+
+
 def test_chunk_markdown_of_plain_prose(spark, data):
     """Documents without headings, tables or page marks: paragraphs in order, packed or windowed under the source."""
     docs = [r for r in spark.read.parquet(f"{data}/documents.parquet").collect() if not re.search(r"(?m)^#{1,6}\s|^\s*\||<!--", r["text"] or "")]
