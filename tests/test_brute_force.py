@@ -367,25 +367,114 @@ def test_page_totals(spark, data):
     assert got == pytest.approx(want, abs=6e-5)
 
 
+def plain_questions(found, company):
+    """The question set of facts, branch by branch, in order: (question, answer, type, statement, years, golds, level, language)."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from quillspark.operators import facts as f
+
+    digits = lambda raw: re.sub("[^0-9]", "", raw)
+    bare = lambda raw: re.sub(r"^[()]+|[()]+$", "", raw)
+    shown = lambda r: (f"âm {bare(r['value_raw'])}" if r["value"] < 0 else r["value_raw"]) + f" {r['unit']}"
+    tenth = lambda x: str(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    by_key = {(r["statement"], r["code"], r["year"]): r for r in found}
+    wrong = {k[:2] for k, r in by_key.items() if (k[0], k[1], k[2] + 1) in by_key and digits(r["value_raw"]) != digits(by_key[k[0], k[1], k[2] + 1]["prior_raw"])}
+    series = {}
+    for (statement, code, _), r in sorted(by_key.items()):
+        if (statement, code) not in wrong:
+            series.setdefault((statement, code), []).append(r)
+    item = {k: i for i, k in enumerate(sorted(series))}
+    head = {k: i for i, k in enumerate(f.HEADLINE)}
+    rows = []
+
+    def add(order, question, answer, kind, statement, years, golds, level, lang="vi", **names):
+        question = question.format(company=company, **names)
+        rows.append((order, question[:1].upper() + question[1:], answer.format(company=company, **names), kind, statement, years, golds, level, lang))
+
+    for key, points in series.items():
+        statement, code = key
+        first, last = points[0], points[-1]
+        flow, label, unit = not statement.startswith("cdkt"), first["label"], first["unit"]
+        low = label[:1].lower() + label[1:]
+        for r in points:
+            y, own = r["year"], bare(r["value_raw"])
+            period = f"năm {y}" if flow else f"tại ngày 31/12/{y}"
+            add((1, item[key], y), f.LOOKUPS[(item[key] + y) % 3], f.LOOKUP_ANSWER, "numeric_single", statement, [y], [own], "easy" if code in ("01", "10", "440") else "medium", low=low, label=label, period=period, shown=shown(r))
+            if not flow:
+                add((6, item[key], y), *f.OPENING, "numeric_compare", statement, [y], [own, bare(r["prior_raw"])], "medium", label=label, year=y, shown=shown(r), prior_raw=r["prior_raw"])
+            if key in head and code in f.ENGLISH:
+                name = f.ENGLISH[code]
+                add((7, head[key], y), *f.ABROAD, "numeric_single", statement, [y], [own], "medium", "en", name=name, title=name[0].upper() + name[1:], year=y, value_raw=r["value_raw"], unit=r["unit"])
+        for before, r in zip(points, points[1:]):
+            if not flow:
+                continue
+            delta, y, z = r["value"] - before["value"], r["year"], before["year"]
+            golds = [bare(r["value_raw"]), bare(before["value_raw"])]
+            names = {"label": label, "year": y, "year_before": z, "value_raw": r["value_raw"], "raw_before": before["value_raw"]}
+            add((2, item[key], y), *f.YEARLY, "numeric_compare", statement, [z, y], golds, "medium", shown=shown(r), shown_before=shown(before), direction="tăng" if delta > 0 else "giảm" if delta < 0 else "không đổi", **names)
+            if key in head:
+                add((8, head[key], y), *f.DELTA, "reasoning", statement, [z, y], golds, "hard", way="tăng" if delta > 0 else "giảm", amount=f"{math.floor(abs(delta)):,}".replace(",", "."), **names)
+        if len(points) < 4:
+            continue
+        years = [r["year"] for r in points]
+        add((3, item[key], 0), *f.TREND, "multi_year", statement, years, [bare(r["value_raw"]) for r in points], "hard", label=label, unit=unit, first_year=years[0], last_year=years[-1], points=", ".join(f"năm {r['year']}: {bare(r['value_raw'])}" for r in points))
+        if key in head:
+            span = {"first_year": years[0], "last_year": years[-1]}
+            if first["value"] > 0 and last["value"] > 0:
+                add((4, head[key], 0), *f.GROWTH, "reasoning", statement, [years[0], years[-1]], [bare(first["value_raw"]), bare(last["value_raw"])], "hard", label=label, first_raw=first["value_raw"], last_raw=last["value_raw"], multiple=tenth(last["value"] / first["value"]), **span)
+            top = max(points, key=lambda r: (r["value"], -r["year"]))
+            add((4, head[key], 1), *f.PEAK, "reasoning", statement, years, [bare(top["value_raw"])], "hard", low=low, year=top["year"], shown=shown(top), **span)
+    for no, (name, over, under) in enumerate(f.MARGINS):
+        for y in sorted({k[2] for k in by_key}):
+            o, u = by_key.get(("kqkd", over, y)), by_key.get(("kqkd", under, y))
+            if o and u and u["value"]:
+                add((5, no, y), *f.MARGIN, "reasoning", "kqkd", [y], [bare(o["value_raw"]), bare(u["value_raw"])], "hard", name=name, year=y, percent=tenth(o["value"] / u["value"] * 100), over_label=f.INCOME[over].lower(), under_label=f.INCOME[under].lower(), over_raw=o["value_raw"], under_raw=u["value_raw"])
+    seen, out = set(), []
+    for row in sorted(rows, key=lambda r: r[0]):
+        if row[1].strip().lower() not in seen:
+            seen.add(row[1].strip().lower())
+            out.append(row[1:])
+    return [(f"q-{i:04d}", *row) for i, row in enumerate(out, 1)]
+
+
+ASKED = ("id", "question", "ground_truth", "answer_type", "statement", "years", "gold_numbers", "difficulty", "lang")
+
+
+def question_rows(df):
+    return sorted(tuple(list(r[c]) if isinstance(r[c], list) else r[c] for c in ASKED) for r in df.collect())
+
+
 def test_qa_generate(spark, data):
-    """Lookups and yearly changes word by word; every gold number stands in its answer, questions are asked once and numbered."""
-    from quillspark.operators import facts
+    """Every branch over the facts of the tables: all columns of all questions, in order."""
     from quillspark.plans import statement_queries
 
-    rows = [r.asDict() for r in QUERIES["qa_generate"](spark, data).collect()]
-    assert sorted(r["id"] for r in rows) == [f"q-{i:04d}" for i in range(1, len(rows) + 1)]
-    assert len({r["question"].strip().lower() for r in rows}) == len(rows)
-    assert all(g in r["ground_truth"] for r in rows for g in r["gold_numbers"])
-    found = [r.asDict() for r in facts.consistent(statement_queries.found(spark, data)).collect()]
-    items = {k: i for i, k in enumerate(sorted({(r["statement"], r["code"]) for r in found}))}
-    shown = lambda raw, value, unit: ("âm " + raw.strip("()") if value < 0 else raw) + f" {unit}"
-    want = set()
-    for r in found:
-        period = f"tại ngày 31/12/{r['year']}" if r["statement"].startswith("cdkt") else f"năm {r['year']}"
-        low = r["label"][:1].lower() + r["label"][1:]
-        question = facts.LOOKUPS[(items[r["statement"], r["code"]] + r["year"]) % len(facts.LOOKUPS)].format(low=low, company="Orders", period=period)
-        want.add((question[:1].upper() + question[1:], f"{r['label']} {period} là {shown(r['value_raw'], r['value'], r['unit'])}."))
-    assert want == {(r["question"], r["ground_truth"]) for r in rows if r["answer_type"] == "numeric_single" and r["lang"] == "vi"}
+    found = [r.asDict() for r in statement_queries.found(spark, data).collect()]
+    assert question_rows(QUERIES["qa_generate"](spark, data)) == plain_questions(found, "Orders")
+
+
+def test_questions_of_all_branches(spark):
+    """Three statements over five years, with losses, gaps, equal figures, a contradicted item, zero to divide by and a question asked twice."""
+    from quillspark.operators import facts
+
+    rng, rows = random.Random(5), []
+    dotted = lambda v: f"({abs(v):,})".replace(",", ".") if v < 0 else f"{v:,}".replace(",", ".")
+    items = [("kqkd", c) for c in ("01", "10", "20", "22", "50", "60", "70")] + [("cdkt_ts", c) for c in ("100", "110", "123")] + [("cdkt_nv", c) for c in ("400", "440")]
+    for statement, code in items:
+        before = None
+        for y in range(2019, 2024):
+            if (code, y) in {("22", 2021), ("110", 2022), ("110", 2023)}:
+                before = None
+                continue
+            value = 0 if (code, y) == ("10", 2020) else before if (code, y) == ("50", 2021) and before is not None else rng.randint(-(10**6), 10**8) if code in ("60", "20") else rng.randint(1000, 10**9)
+            prior = dotted(before if before is not None else rng.randint(1000, 10**6))
+            label = f"Chỉ tiêu {code}" if code != "123" else "chỉ tiêu 100"
+            rows.append((statement, code, label, y, dotted(value), float(value), "VND/cổ phiếu" if code == "70" else "triệu VND", "7" if (code, y) == ("01", 2022) else prior))
+            before = value
+    found = spark.createDataFrame(rows, "statement string, code string, label string, year int, value_raw string, value double, unit string, prior_raw string")
+    want = plain_questions([r.asDict() for r in found.collect()], "Trial")
+    assert {r[3] for r in want} == {"numeric_single", "numeric_compare", "multi_year", "reasoning"} and {r[8] for r in want} == {"vi", "en"}
+    assert not any("Chỉ tiêu 01 " in r[1] for r in want) and any(" lần năm " in r[1] for r in want) and any("xấp xỉ" in r[1] for r in want) and any("cuối năm" in r[1] for r in want)
+    assert question_rows(facts.questions(spark, found, "Trial")) == want
 
 
 def test_questions_pairs_and_resumption(spark, tmp_path):
