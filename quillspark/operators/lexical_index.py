@@ -29,11 +29,11 @@ from quillspark.functions.text import tokens
 from quillspark.operators.retrieval import B, DIGITS, K1, top_k
 
 #: Documents of a range, on average.
-RANGE = 64
+RANGE = 16
 #: Classes of length for each doubling.
 CLASSES = 4
 #: Ranges that are scored to find a threshold.
-SEEDS = 6
+SEEDS = 12
 #: What rounding may add to a score.
 SLACK = 2 * 10.0**-DIGITS
 
