@@ -41,6 +41,8 @@ RESERVED = ("cell",)
 
 def recall_curve(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The recall of 1, 2, ... probes among rows ``x`` of unit length."""
+    if not len(centres):
+        return np.zeros(0)
     own = (x @ centres.T).argmax(axis=1)
     found = np.zeros(len(centres))
     for row in x[: min(JUDGES, len(x))]:
