@@ -73,22 +73,12 @@ def chosen(tried: DataFrame, chunks: DataFrame) -> DataFrame:
     return first.withColumn("most", F.max("bucket").over(Window.partitionBy("qid"))).where("bucket >= 0 OR most < 0").drop("most")
 
 
-def passes(search: str = "s_", chunk: str = "c_") -> Column:
-    """Whether a chunk passes the filter of a search; the columns carry prefixes."""
-    ok = F.col(f"{search}session") == F.col(f"{chunk}session")
-    for c in FILTERS:
-        wanted = F.col(f"{search}{c}")
-        free = (wanted == "") if c == "statement_type" else wanted.isNull()
-        ok = ok & (F.coalesce(free, F.lit(True)) | (wanted == F.col(f"{chunk}{c}")))
-    return ok
-
-
-def lexical(searches: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, bucket, id, score, rank, limit): BM25 under each search's filter, as many as its branch takes."""
-    own = searches.select("qid", "bucket", "limit", *[F.col(c).alias(f"s_{c}") for c in ("session", *FILTERS)])
-    tags = chunks.select("id", *[F.col(c).alias(f"c_{c}") for c in ("session", *FILTERS)])
-    pairs = retrieval.bm25(questions, chunks).join(tags, "id").join(own, "qid").where(passes())
-    return _branch(pairs.select("qid", "bucket", "id", "score", "limit"))
+def lexical(searches: DataFrame, questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """(qid, bucket, id, score, rank, limit): BM25 under each search's filter, as many as its branch takes; ``most`` is the largest limit."""
+    asked = searches.join(questions.select("qid", "question"), "qid").select(F.struct("qid", "bucket", "limit").alias("search"), "question", "session", *FILTERS)
+    asked = asked.withColumn("statement_type", F.nullif("statement_type", F.lit("")))
+    found = retrieval.bm25_top_k(asked.withColumnRenamed("search", "qid"), chunks, retrieval.branch_limit(most), ("session", *FILTERS))
+    return _branch(found.select("qid.qid", "qid.bucket", "id", "score", "qid.limit"))
 
 
 def dense(searches: DataFrame, questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
@@ -171,7 +161,7 @@ def with_whole_notes(hits: DataFrame, chunks: DataFrame, least: int = PARENT) ->
 def routed(questions: DataFrame, chunks: DataFrame, known: Column, candidates: int = 30) -> DataFrame:
     """The hits of every question in order: (qid, session, periods, bucket, step, place, id, score) and the columns of the chunk."""
     searches = chosen(attempts(questions, known, candidates), chunks)
-    found = fused([lexical(searches, questions, chunks), dense(searches, questions, chunks, candidates)])
+    found = fused([lexical(searches, questions, chunks, candidates), dense(searches, questions, chunks, candidates)])
     found = found.join(searches.select("qid", "session", "periods", "bucket", "step"), ["qid", "bucket"]).join(chunks.drop("session"), "id")
     return in_turns(found, candidates)
 

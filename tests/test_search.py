@@ -299,3 +299,20 @@ def test_retrieve_gate_empty_tables_and_odd_rows(spark):
 def test_wider_for_more_periods(spark):
     got = spark.range(0, 20, 3).select("id", pathway.width(8, F.col("id"), 30).alias("k"), pathway.width(8, F.col("id"), 6).alias("few")).collect()
     assert [(r["k"], r["few"]) for r in got] == [(min(max(8, 2 * i), 30), min(max(8, 2 * i), 6)) for i in range(0, 20, 3)]
+
+
+def test_best_of_bm25_without_all_pairs(spark):
+    """Filters and groups within the packed search give what all pairs give; no pair is shuffled before it is among the best of its batch."""
+    rng = random.Random(5)
+    word = lambda: f"w{min(int(rng.expovariate(0.2)), 60)}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 40))), rng.choice(["en", "fr", None]), f"s{i % 5}") for i in range(700)], "id long, text string, lang string, source string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(6)), rng.choice(["en", None]), rng.choice([None, "s1", "none"])) for q in range(30)] + [(99, None, None, None)], "qid long, question string, lang string, source string")
+    pairs = retrieval.bm25(asked, docs).join(docs.select("id", F.col("lang").alias("c_lang"), "source"), "id")
+    own = asked.select("qid", F.col("lang").alias("q_lang"), F.col("source").alias("q_source"))
+    kept = pairs.join(own, "qid").where("coalesce(q_lang = c_lang, q_lang IS NULL) AND coalesce(q_source = source, q_source IS NULL)")
+    rows = lambda df, *more: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 5), *(str(r[c]) for c in more)) for r in df.collect())
+    assert rows(retrieval.bm25_top_k(asked, docs, 4, ("lang", "source"))) == rows(retrieval.top_k(kept, 4))
+    assert rows(retrieval.bm25_top_k(asked, docs, 3, bucket="lang"), "lang") == rows(retrieval.top_k(pairs.withColumnRenamed("c_lang", "lang"), 3, ["qid", "lang"]), "lang")
+    plan = retrieval.bm25_top_k(asked, docs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" in plan and "hashpartitioning(id" not in plan and "hashpartitioning(term" not in plan.split("MapInArrow")[-1].split("pack(")[0]
+    assert retrieval.bm25_top_k(asked.limit(0), docs, 4).count() == 0 == retrieval.bm25_top_k(asked, docs.limit(0), 4).count()
