@@ -180,7 +180,7 @@ def stream_memory_lapse(spark, sf):
     memory.with_timers(spark)
     conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
     ms = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp")) + conv * 60_000 + turn * 600_000 + F.when((conv % 3 == 0) & (turn >= 2), 172_800_000).otherwise(0)
-    turns = jobs.stream(spark, f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema).select(conv.alias("conv_id"), turn.alias("turn"), "role", "text", F.timestamp_millis(ms).alias("at"))
+    turns = jobs.stream(spark, f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema, None).select(conv.alias("conv_id"), turn.alias("turn"), "role", "text", F.timestamp_millis(ms).alias("at"))
     write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{at}/out/batch_id={no}")
     memory.chat_memory(turns).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.schema(f"{memory.MEMORY}, batch_id long").parquet(f"{at}/out").groupBy("conv_id").agg(F.max_by(F.struct("turns", "until_ms", "lapsed"), F.struct("batch_id", "lapsed")).alias("m"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A Parquet file or folder of such as a stream; written as a pattern, which a single file needs."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+def stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    """A Parquet file or folder of such as a stream; written as a pattern, which a single file needs.  Without ``files_per_trigger``, all files that are there
+    make one batch: event time that is not in the order of the files then makes no row late."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def index_stream(source: DataFrame, transform, sink: str, status: str, checkpoint: str):
