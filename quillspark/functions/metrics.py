@@ -6,18 +6,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 from quillspark.functions.numbers import canonical, numbers_in
 from quillspark.functions.text import tokens
 
 
-def bag(words: Column) -> Column:
-    """Words with their place among equal words: sets of these behave as multisets.  Linear after a sort."""
-    ordered = F.array_sort(words)
-    numbered = F.zip_with(ordered, F.sequence(F.lit(1), F.size(ordered)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    first = F.map_from_entries(F.transform(F.filter(F.zip_with(numbered, F.concat(F.array(F.lit(None).cast("string")), F.slice(ordered, F.lit(1), F.size(ordered) - 1)), lambda n, before: F.struct(n["w"].alias("w"), n["i"].alias("i"), before.alias("b"))), lambda x: ~x["w"].eqNullSafe(x["b"])), lambda x: F.struct(x["w"], x["i"])))
-    return F.when(F.size(words) > 0, F.transform(numbered, lambda n: F.concat_ws("\u0001", n["w"], (n["i"] - F.element_at(first, n["w"])).cast("string")))).otherwise(F.array().cast("array<string>"))
+@F.pandas_udf(ArrayType(StringType()))
+def bag(words: pd.Series) -> pd.Series:
+    """Words with their place among equal words: sets of these behave as multisets.  One pass; as a column expression, each word would build the table of
+    all words anew."""
+    out = []
+    for row in words:
+        seen: dict[str, int] = {}
+        numbered = []
+        for w in row if row is not None else []:
+            seen[w] = seen.get(w, 0) + 1
+            numbered.append(f"{w}\u0001{seen[w]}")
+        out.append(numbered)
+    return pd.Series(out)
 
 
 def overlap_f1(pairs: DataFrame, key: list[str], a: str, b: str, name: str) -> DataFrame:

@@ -193,3 +193,13 @@ def test_sessions(spark):
     assert one(spark, text.doc_year(F.col("n"), F.col("t")), n="2021_bctc.md", t="năm 2022") == 2021
     assert one(spark, text.doc_year(F.col("n"), F.col("t")), n="bctc.md", t="mã 20221, năm 2022") == 2022
     assert one(spark, text.progress(F.col("d"), F.col("n")), d=5, n=5) == 95
+
+
+def test_bag_is_linear_in_its_words(spark):
+    """A pass over the words, not a table of all of them for each one: 200,000 words would take minutes."""
+    import time
+
+    long = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("w"), (i % 50_000).cast("string"))).alias("w"))
+    began = time.time()
+    assert [r["n"] for r in long.select(F.size(F.array_intersect(metrics.bag("w"), metrics.bag("w"))).alias("n")).collect()] == [200_000] * 2
+    assert time.time() - began < 60
