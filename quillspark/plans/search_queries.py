@@ -51,9 +51,9 @@ def maintained_topk(spark, sf):
     at = folder(spark, "maintained")
     docs = chunks(spark, sf).select("id", "text")
     changed = F.when(F.col("id") % 10 == 4, F.reverse("text")).otherwise(F.col("text"))
-    docs.where("id % 3 = 0 OR id % 10 = 4").coalesce(1).write.parquet(f"{at}/in/0")
-    docs.where("id % 3 = 1 OR id % 10 = 4").withColumn("text", changed).coalesce(1).write.parquet(f"{at}/in/1")
-    docs.where("id % 3 = 2 AND id % 10 <> 4").coalesce(1).write.parquet(f"{at}/in/2")
+    docs.where("id % 3 = 0 OR id % 10 = 4").write.parquet(f"{at}/in/0")
+    docs.where("id % 3 = 1 OR id % 10 = 4").withColumn("text", changed).write.parquet(f"{at}/in/1")
+    docs.where("id % 3 = 2 AND id % 10 <> 4").write.parquet(f"{at}/in/2")
     index = LexicalIndex(spark, f"{at}/index")
     for no in range(3):
         # Files come one after another, as they would from an upload folder.

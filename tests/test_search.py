@@ -316,3 +316,13 @@ def test_best_of_bm25_without_all_pairs(spark):
     plan = retrieval.bm25_top_k(asked, docs, 4)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" in plan and "hashpartitioning(id" not in plan and "hashpartitioning(term" not in plan.split("MapInArrow")[-1].split("pack(")[0]
     assert retrieval.bm25_top_k(asked.limit(0), docs, 4).count() == 0 == retrieval.bm25_top_k(asked, docs.limit(0), 4).count()
+
+
+def test_maintained_input_is_not_one_task(spark, data, tmp_path, monkeypatch):
+    """What a table of several files gives to the stream is written by several tasks."""
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(4).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(search_queries, "folder", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    search_queries.maintained_topk(spark, str(tmp_path))
+    for no in range(3):
+        assert len(list((tmp_path / "maintained" / "in" / str(no)).glob("part-*"))) > 1
