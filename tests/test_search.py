@@ -85,6 +85,40 @@ def test_lexical_index_from_a_stream_that_is_restarted(spark, tmp_path):
     assert rows_of(index.search(questions, 5)) == plain_top(spark, questions, docs, 5)
 
 
+def test_lexical_index_shuffles_no_posting(spark, tmp_path, monkeypatch):
+    """Texts are dealt by id while the index is built; a search shuffles neither ranges nor terms of them."""
+    plans, write = [], LexicalIndex._write
+    monkeypatch.setattr(LexicalIndex, "_write", lambda self, df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, *a, **b))[1])
+    index = LexicalIndex(spark, f"file://{tmp_path}/a")
+    index.add(0, spark.createDataFrame(list(enumerate(texts(5, 90))), "id long, text string"))
+    plans = [p for p in plans if "words" in p] + [index.search(asked(spark), 5)._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) > 1 and not any("hashpartitioning(range" in p or "hashpartitioning(batch#" in p and "term" in p.split("hashpartitioning(batch#")[1].split(")")[0] for p in plans)
+
+
+def test_lexical_index_of_repeated_ids_and_large_bundles(spark, tmp_path):
+    """Rows of one id add up, whatever bundle or batch of Arrow they come in; documents past one bundle are found."""
+    rng = random.Random(3)
+    docs = [(i // 2 if i < 900 else i, t) for i, t in enumerate(texts(6, 1300))] + [(7, "w1 w2 " * n) for n in range(1, 400)]
+    rng.shuffle(docs)
+    index = LexicalIndex(spark, f"file://{tmp_path}/a")
+    index.add(0, spark.createDataFrame(docs, "id long, text string").coalesce(1))
+    words = [(i, re.findall(r"\w+", t)) for i, t in docs]
+    mean, df = sum(len(w) for _, w in words) / len(words), Counter(t for _, w in words for t in set(w))
+    want = {}
+    for q, question in ((0, "w1 w40"), (1, "w0 w5 w59")):
+        scores = Counter()
+        for i, w in words:
+            for t in question.split():
+                if tf := w.count(t):
+                    scores[i] += math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        want[q] = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:20]
+    got = index.search(spark.createDataFrame([(0, "w1 w40"), (1, "w0 w5 w59")], "qid long, question string"), 20, seeds=1)
+    found = {q: [(i, s) for x, _, i, s in rows_of(got) if x == q] for q in want}
+    for q in want:
+        assert [i for i, _ in found[q]] == [i for i, _ in want[q]]
+        assert [s for _, s in found[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6)
+
+
 # Vector index.
 
 
