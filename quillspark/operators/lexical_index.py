@@ -145,7 +145,7 @@ class LexicalIndex:
         size = questions.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).alias("blocks"))
         dealt = terms.crossJoin(size).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")))  # size is one row
         blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("qid", "terms")).alias("asked"), F.first("mean").alias("mean"))
-        return self.bundles().crossJoin(F.broadcast(blocks))
+        return self.bundles().crossJoin(blocks)
 
     def _weighted(self, wanted: DataFrame) -> DataFrame:
         """(qid, term, idf, mean) of each word of a question that is indexed."""
