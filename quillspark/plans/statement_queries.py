@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
@@ -218,9 +218,20 @@ def ref_col_big(spark, sf):
 _IDENTITY = "i AS (SELECT l_orderkey::VARCHAR AS file, CAST(round(sum(l_extendedprice)) AS BIGINT) AS a, CAST(round(sum(l_extendedprice * l_discount)) AS BIGINT) AS b, CAST(round(sum(l_extendedprice * (1 - l_discount))) AS BIGINT) + l_orderkey % 3 AS c FROM lineitem GROUP BY l_orderkey)"
 
 
+def summed(values: Column) -> Column:
+    """Sum of an array in its order, nulls left out; null without a value."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, b: a + b))
+
+
 def identity_cells(spark, sf) -> DataFrame:
     """Orders as income statements whose net revenue is off by up to two."""
-    line = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice")).cast("long").alias("a"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).cast("long").alias("b"), (F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).cast("long")).alias("net"))
+    # Doubles are added in the order of the table's rows, as SQL does on one thread: a sum that ends in half a unit rounds either way by the order, and
+    # partial sums would have it follow from where files are cut and which task ends first.  An order has a handful of lines.
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "l_extendedprice", "l_discount").alias("line"))
+    line = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    total = lambda f: F.round(summed(F.transform("lines", lambda x: f(x["l_extendedprice"], x["l_discount"])))).cast("long")
+    line = line.select("l_orderkey", total(lambda price, _: price).alias("a"), total(lambda price, off: price * off).alias("b"), total(lambda price, off: price * (1 - off)).alias("net"))
     line = line.withColumn("c", F.col("net") + F.col("l_orderkey") % 3)
     shown = {"01": numbers.grouped(F.col("a")), "02": F.concat(F.lit("("), numbers.grouped(F.col("b")), F.lit(")")), "10": numbers.grouped(F.col("c")), "20": numbers.grouped(F.col("c")), "11": F.lit("0")}
     rows = F.explode(F.array(*[F.struct(F.lit(int(code)).alias("row_idx"), F.array(F.lit(code), F.lit(facts.INCOME[code]), F.lit(""), value, F.lit("0")).alias("cells")) for code, value in shown.items()]))
