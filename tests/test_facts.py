@@ -122,3 +122,11 @@ def test_identities_add_doubles_in_row_order(spark, data, tmp_path):
 
     want = cut_lines(tmp_path, data).sql(SQL["arith_identity"]).fetchall()
     assert len(want) > 100 and sorted(map(tuple, QUERIES["arith_identity"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_report_counts_sums_in_row_order(spark, data, tmp_path):
+    from quillspark.plans.statement_queries import QUERIES, SQL
+
+    want = cut_lines(tmp_path, data).sql(SQL["findings_report"]).fetchall()
+    got = [tuple(r) for r in QUERIES["findings_report"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[0] == "arithmetic_mismatch" for r in got)
